@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash
+from . import exact_dedup, pieces, simhash
 from .common import table
 
 
@@ -21,8 +21,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file on the box."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), keep_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_exact_dedup": op4_exact_dedup, "op10_simhash": op10_simhash}
+    return {"op3_sentencepiece": op3_sentencepiece, "op4_exact_dedup": op4_exact_dedup, "op10_simhash": op10_simhash}
 
 
 EXACT_SQL = r"""
