@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, pieces, simhash, token_files
+from . import exact_dedup, pieces, simhash, token_files, toxicity
 from .common import table
 
 
@@ -36,8 +36,13 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_sentencepiece": op3_sentencepiece, "op4_exact_dedup": op4_exact_dedup, "op7_token_files": op7_token_files, "op10_simhash": op10_simhash}
+    return {"op3_sentencepiece": op3_sentencepiece, "op4_exact_dedup": op4_exact_dedup, "op7_token_files": op7_token_files, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
 
 
 EXACT_SQL = r"""
