@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, pieces, simhash, token_files, toxicity
+from . import exact_dedup, language, pieces, simhash, token_files, toxicity
 from .common import table
 
 
@@ -41,8 +41,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_sentencepiece": op3_sentencepiece, "op4_exact_dedup": op4_exact_dedup, "op7_token_files": op7_token_files, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
+    return {"op3_sentencepiece": op3_sentencepiece, "op4_exact_dedup": op4_exact_dedup, "op5_language_id": op5_language_id, "op7_token_files": op7_token_files, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
 
 
 EXACT_SQL = r"""
