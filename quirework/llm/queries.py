@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, pieces, simhash, token_files, toxicity
+from . import exact_dedup, language, pieces, simhash, token_files, topk, toxicity
 from .common import table
 
 
@@ -45,8 +45,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_sentencepiece": op3_sentencepiece, "op4_exact_dedup": op4_exact_dedup, "op5_language_id": op5_language_id, "op7_token_files": op7_token_files, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
+    return {"op3_sentencepiece": op3_sentencepiece, "op4_exact_dedup": op4_exact_dedup, "op5_language_id": op5_language_id, "op7_token_files": op7_token_files, "op8_top_k": op8_top_k, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
 
 
 EXACT_SQL = r"""
@@ -63,5 +67,18 @@ FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id)
 """
 
 
+TOP_SQL = """
+WITH fine AS (
+  SELECT vec_id, embedding FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM fine),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": EXACT_SQL}
+    return {"op4_exact_dedup": EXACT_SQL, "op8_top_k": TOP_SQL}
