@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, pieces, simhash, token_files, topk, toxicity
+from . import exact_dedup, language, mixing, pieces, simhash, token_files, topk, toxicity
 from .common import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).taken().drop("uid")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -50,7 +54,7 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_sentencepiece": op3_sentencepiece, "op4_exact_dedup": op4_exact_dedup, "op5_language_id": op5_language_id, "op7_token_files": op7_token_files, "op8_top_k": op8_top_k, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
+    return {"op1_mixing": op1_mixing, "op3_sentencepiece": op3_sentencepiece, "op4_exact_dedup": op4_exact_dedup, "op5_language_id": op5_language_id, "op7_token_files": op7_token_files, "op8_top_k": op8_top_k, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
 
 
 EXACT_SQL = r"""
