@@ -37,7 +37,7 @@ SEED = 7
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+_CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")  # matches wherever it starts, so a long run of digits is read once
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
