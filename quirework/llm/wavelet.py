@@ -4,7 +4,7 @@ File format (little-endian): magic "QWM1"; unsigned 64-bit numbers of tokens and
 a token; then for each section an unsigned 64-bit length and the section: the index (zlib: for every document its id as
 signed 64-bit, a validity byte, its length as unsigned 64-bit; for every plane the unsigned 64-bit number of zeros;
 for every plane and chunk the unsigned 64-bit ones before the chunk and the end of the chunk's bytes), then the planes'
-chunks, each compressed by itself. Plane 0 holds the highest bit. To look up one token, one chunk a plane is read.
+chunks, each a Zstandard frame. Plane 0 holds the highest bit. To look up one token, one chunk a plane is read.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import struct
 import zlib
 
 import numpy as np
+import zstandard
 
 MAGIC = b"QWM1"
 #: Bits of a plane that are compressed together.
@@ -23,10 +24,10 @@ def _partition(values: np.ndarray, bits: int) -> list[tuple[np.ndarray, int]]:
     """(bit plane, zeros) from the highest bit down; each plane sorts the values stably by its bit."""
     planes = []
     for k in range(bits - 1, -1, -1):
-        bit = ((values >> k) & 1).astype(bool)
-        low = values[~bit]
+        bit = (values & values.dtype.type(1 << k)) != 0
+        low = np.flatnonzero(~bit)  # places and take() are several times faster than a mask of random bits
         planes.append((np.packbits(bit), len(low)))
-        values = np.concatenate((low, values[bit]))
+        values = values.take(np.concatenate((low, np.flatnonzero(bit))))
     return planes
 
 
@@ -35,14 +36,14 @@ def build(tokens: np.ndarray, doc_ids: list[int | None], lengths: list[int], bit
     n = len(tokens)
     step, chunks, ends, before = CHUNK // 8, [], [], []
     planes = _partition(tokens, bits)
-    size = 0
+    press, size = zstandard.ZstdCompressor(level=1).compress, 0
     for plane, _ in planes:
         raw, ones = plane.tobytes(), 0
         for at in range(0, len(raw), step):
             part = raw[at : at + step]
             before.append(ones)
             ones += int(np.bitwise_count(np.frombuffer(part, np.uint8)).sum())
-            chunks.append(zlib.compress(part, 1))
+            chunks.append(press(part))
             size += len(chunks[-1])
             ends.append(size)
     index = zlib.compress(
@@ -85,6 +86,7 @@ class Shard:
         ends = take("<u8", self.bits * per).astype(np.int64)
         self.ends = ends.reshape(self.bits, per)
         self.begins = np.concatenate(([0], ends[:-1])).reshape(self.bits, per) if per else self.ends
+        self._open = zstandard.ZstdDecompressor().decompress
         self._chunks: dict[tuple[int, int], np.ndarray] = {}
 
     def _chunk(self, plane: int, chunk: int) -> np.ndarray:
@@ -92,7 +94,7 @@ class Shard:
         if key not in self._chunks:
             if len(self._chunks) >= 256:
                 self._chunks.clear()
-            self._chunks[key] = np.unpackbits(np.frombuffer(zlib.decompress(self.body[self.begins[key] : self.ends[key]]), np.uint8))
+            self._chunks[key] = np.unpackbits(np.frombuffer(self._open(self.body[self.begins[key] : self.ends[key]]), np.uint8))
         return self._chunks[key]
 
     def _ones(self, plane: int, i: int) -> int:
@@ -151,11 +153,11 @@ class Shard:
         kind = np.uint16 if self.bits <= 16 else np.uint32
         values = np.zeros(self.n, kind)
         for p in range(self.bits - 1, -1, -1):
-            raw = b"".join(zlib.decompress(self.body[a:b]) for a, b in zip(self.begins[p], self.ends[p], strict=True))
+            raw = b"".join(self._open(self.body[a:b]) for a, b in zip(self.begins[p], self.ends[p], strict=True))
             bit = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n).astype(bool)
             zeros, above = int(self.zeros[p]), np.empty(self.n, kind)
-            above[~bit] = values[:zeros]
-            above[bit] = values[zeros:] | kind(1 << (self.bits - 1 - p))
+            above[np.flatnonzero(~bit)] = values[:zeros]
+            above[np.flatnonzero(bit)] = values[zeros:] | kind(1 << (self.bits - 1 - p))
             values = above
         return values
 
