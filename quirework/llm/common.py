@@ -77,6 +77,21 @@ def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or the name with marks behind it that no column of df has (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """docs, every column kept, without the rows at the places (uid) of a stored table."""
+    at = fresh(docs, "__uid")
+    gone = small_or_not(dropped.select(F.col("uid").alias(at)), rows)
+    return docs.withColumn(at, F.monotonically_increasing_id()).join(gone, at, "left_anti").drop(at)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

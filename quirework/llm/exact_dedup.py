@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golomb
-from .common import BROADCAST_ROWS, WHITE, materialise, partitions, ship, small_or_not, texts_of
+from .common import BROADCAST_ROWS, WHITE, materialise, partitions, ship, small_or_not, texts_of, without_rows
 
 #: Bits of a fingerprint. False suspects are possible and harmless: bytes decide.
 BITS = 48
@@ -142,5 +142,5 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs, every column kept, without all but one row of each group of equal texts."""
-    dropped = materialise(exact_groups(docs, id_col, text_col, broadcast_rows).filter(~F.col("kept")).select(F.col("uid").alias("__uid")), "dropped")
-    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(small_or_not(dropped, broadcast_rows), "__uid", "left_anti").drop("__uid")
+    dropped = materialise(exact_groups(docs, id_col, text_col, broadcast_rows).filter(~F.col("kept")).select("uid"), "dropped")
+    return without_rows(docs, dropped, broadcast_rows)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, materialise, ship, texts_of
+from .common import WHITE, fresh, materialise, ship, texts_of
 
 #: Words of a block, at least; blocks grow so that there are at most MAX_BLOCKS of them.
 BLOCK_WORDS, MAX_BLOCKS = 256, 1 << 28
@@ -235,15 +235,16 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs as mixed, every column kept: one row for each run of a document's words that the mix takes in one pass, with
     text_col cut to it. A document taken whole keeps its text as it is; one taken twice has a row for each."""
     own = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    runs = own.pieces.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("turn", "first_word", "n_words"))).alias("__pieces")).withColumnRenamed("uid", "__uid")
-    joined = docs.withColumn("__uid", F.monotonically_increasing_id()).join(runs, "__uid").drop("__uid")
+    at, pieces = fresh(docs, "__uid"), fresh(docs, "__pieces")
+    runs = own.pieces.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("turn", "first_word", "n_words"))).alias(pieces)).withColumnRenamed("uid", at)
+    joined = docs.withColumn(at, F.monotonically_increasing_id()).join(runs, at).drop(at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, rows, cut = texts_of(batch.column(text_col)), [], []
-            for i, pieces in enumerate(batch.column("__pieces").to_pylist()):
+            for i, taken in enumerate(batch.column(pieces).to_pylist()):
                 merged: list[list[int]] = []
-                for p in pieces:
+                for p in taken:
                     if merged and merged[-1][0] == p["turn"] and merged[-1][1] + merged[-1][2] == p["first_word"]:
                         merged[-1][2] += p["n_words"]
                     else:
@@ -251,11 +252,11 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 for _, first, n in merged:
                     rows.append(i)
                     cut.append(cut_words(texts[i], first, n))
-            taken = batch.take(pa.array(rows, pa.int64()))
-            at = taken.schema.get_field_index(text_col)
-            columns = taken.columns
-            columns[at] = pa.array(cut, pa.binary()).cast(taken.schema.field(at).type)
-            kept = [(c, f) for c, f in zip(columns, taken.schema, strict=True) if f.name != "__pieces"]
+            mixed = batch.take(pa.array(rows, pa.int64()))
+            place = mixed.schema.get_field_index(text_col)
+            columns = mixed.columns
+            columns[place] = pa.array(cut, pa.binary()).cast(mixed.schema.field(place).type)
+            kept = [(c, f) for c, f in zip(columns, mixed.schema, strict=True) if f.name != pieces]
             yield pa.record_batch([c for c, _ in kept], names=[f.name for _, f in kept])
 
-    return joined.select(*docs.columns, "__pieces").mapInArrow(run, docs.schema)
+    return joined.select(*docs.columns, pieces).mapInArrow(run, docs.schema)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bktree import Forest, Union
-from .common import BROADCAST_ROWS, materialise, ship, small_or_not, texts_of
+from .common import BROADCAST_ROWS, materialise, ship, small_or_not, texts_of, without_rows
 from .components import components
 
 #: Distinct fingerprints of one tree, at least; a tree of a shard of m has at most max(SHARD, 8 sqrt(m)).
@@ -151,5 +151,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = materialise(near_groups(docs, id_col, text_col, words, radius), "near-groups")
     first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first"))
     kept = materialise(first.select(F.col("first.uid").alias("uid")), "near-kept")
-    dropped = materialise(found.select("uid").join(kept, "uid", "left_anti").withColumnRenamed("uid", "__uid"), "near-dropped")
-    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(small_or_not(dropped, broadcast_rows), "__uid", "left_anti").drop("__uid")
+    dropped = materialise(found.select("uid").join(kept, "uid", "left_anti"), "near-dropped")
+    return without_rows(docs, dropped, broadcast_rows)
