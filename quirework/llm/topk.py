@@ -35,13 +35,13 @@ _TILE_SCHEMA = "dim int, n int, kind string, ids binary, uids binary, body binar
 _LONG = np.iinfo(np.int64)
 
 
-def _pack(scale: float):
+def _pack(scale: float, tile: int):
     def tiles(dim: int, ids: np.ndarray, uids: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(ids), TILE):
-            part = rows[at : at + TILE]
+        for at in range(0, len(ids), tile):
+            part = rows[at : at + tile]
             top = max(1, int(np.abs(part).max(initial=0)))
             kind = "<i2" if top < 1 << 15 else "<i4" if top < 1 << 31 else "<i8"
-            yield pa.record_batch([pa.array([dim], pa.int32()), pa.array([len(part)], pa.int32()), pa.array([kind]), pa.array([ids[at : at + TILE].tobytes()], pa.binary()), pa.array([uids[at : at + TILE].tobytes()], pa.binary()), pa.array([part.astype(kind).tobytes()], pa.binary())], names=["dim", "n", "kind", "ids", "uids", "body"])
+            yield pa.record_batch([pa.array([dim], pa.int32()), pa.array([len(part)], pa.int32()), pa.array([kind]), pa.array([ids[at : at + tile].tobytes()], pa.binary()), pa.array([uids[at : at + tile].tobytes()], pa.binary()), pa.array([part.astype(kind).tobytes()], pa.binary())], names=["dim", "n", "kind", "ids", "uids", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
@@ -58,7 +58,7 @@ def _pack(scale: float):
                 fine = np.isfinite(rows).all(axis=1)
                 scaled = np.clip(np.floor(scale * rows[fine]), -(2.0**62), 2.0**62).astype(np.int64)
                 held.setdefault(dim, []).append((ids[of][fine], uids[of][fine], scaled))
-                if sum(len(x[0]) for x in held[dim]) >= TILE:
+                if sum(len(x[0]) for x in held[dim]) >= tile:
                     yield from tiles(dim, *(np.concatenate(x) for x in zip(*held.pop(dim), strict=True)))
         for dim, parts in held.items():
             yield from tiles(dim, *(np.concatenate(x) for x in zip(*parts, strict=True)))
@@ -148,7 +148,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0,
     spark = vectors.sparkSession
     ship(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("uid"), F.col(vector_col).alias("vector"))
-    tiles = materialise(rows.mapInArrow(_pack(scale), _TILE_SCHEMA).withColumn("tile", F.monotonically_increasing_id()), "tiles")
+    tiles = materialise(rows.mapInArrow(_pack(scale, TILE), _TILE_SCHEMA).withColumn("tile", F.monotonically_increasing_id()), "tiles")
     asked = materialise(tiles.mapInArrow(_queries(every), _TILE_SCHEMA).withColumn("tile", F.monotonically_increasing_id()), "query-tiles")
     size = tiles.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     queries = asked.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -83,31 +83,34 @@ def _head(row: dict, size: int, digest: bytes) -> bytes:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None).encode() + b"\r\n" + http
 
 
-def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.string(), pa.int32(), pa.bool_(), pa.binary(), pa.string())
-        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["record", "chunk", "last", "data", "payload_sha1"])
-
-    for batch in batches:
-        rows, size = [], 0
-        light = batch.drop_columns(["html"]).to_pylist()
-        for row, payload in zip(light, _payloads(batch.column("html")), strict=True):
-            name = record_id(row["page_id"], row["uid"])
-            whole = hashlib.sha1(payload, usedforsecurity=False)
-            parts = [] if row["ref_uid"] is not None else [payload[i : i + CHUNK] for i in range(0, len(payload), CHUNK)]
-            press, running = zlib.compressobj(1, wbits=31), hashlib.sha1(usedforsecurity=False)
-            head = press.compress(_head(row, len(payload), whole.digest()))
-            for i, part in enumerate(parts or [b""]):
-                running.update(part)
-                last = i + 1 >= len(parts)
-                data = head + press.compress(part) + (press.compress(b"\r\n\r\n") + press.flush() if last else press.flush(zlib.Z_SYNC_FLUSH))
-                rows.append((name, i, last, data, running.hexdigest()))
-                head, size = b"", size + len(data)
-                if size > CHUNK:
-                    yield out(rows)
-                    rows, size = [], 0
-        if rows:
-            yield out(rows)
+def _write(chunk: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.string(), pa.int32(), pa.bool_(), pa.binary(), pa.string())
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["record", "chunk", "last", "data", "payload_sha1"])
+
+        for batch in batches:
+            rows, size = [], 0
+            light = batch.drop_columns(["html"]).to_pylist()
+            for row, payload in zip(light, _payloads(batch.column("html")), strict=True):
+                name = record_id(row["page_id"], row["uid"])
+                whole = hashlib.sha1(payload, usedforsecurity=False)
+                parts = [] if row["ref_uid"] is not None else [payload[i : i + chunk] for i in range(0, len(payload), chunk)]
+                press, running = zlib.compressobj(1, wbits=31), hashlib.sha1(usedforsecurity=False)
+                head = press.compress(_head(row, len(payload), whole.digest()))
+                for i, part in enumerate(parts or [b""]):
+                    running.update(part)
+                    last = i + 1 >= len(parts)
+                    data = head + press.compress(part) + (press.compress(b"\r\n\r\n") + press.flush() if last else press.flush(zlib.Z_SYNC_FLUSH))
+                    rows.append((name, i, last, data, running.hexdigest()))
+                    head, size = b"", size + len(data)
+                    if size > chunk:
+                        yield out(rows)
+                        rows, size = [], 0
+            if rows:
+                yield out(rows)
+
+    return run
 
 
 class Reader:
@@ -163,8 +166,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_rows: int = BROADCAST_ROWS) -> None:
-    """Write a record for every row of pages as a chunked record table at path."""
+def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_rows: int = BROADCAST_ROWS, chunk: int = CHUNK) -> None:
+    """Write a record for every row of pages as a chunked record table at path, `chunk` payload bytes a row."""
     ship(pages.sparkSession)
     rows = pages.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
     narrow = materialise(rows.select("uid", "page_id", "html").mapInArrow(_digest, _DIGESTS), "payloads").filter(F.col("n") >= SMALLEST)
@@ -173,7 +176,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     groups = materialise(groups.select(*by, F.col("best.page_id").alias("ref_page_id"), F.bitwise_not("best.at").alias("ref_uid")), "payload-copies")
     revisits = materialise(narrow.join(groups, by).filter("uid <> ref_uid").select("uid", "ref_page_id", "ref_uid"), "revisits")
     dealt = rows.join(small_or_not(revisits, broadcast_rows), "uid", "left")
-    dealt.mapInArrow(_write, ROWS).write.option("compression", "uncompressed").parquet(path)
+    dealt.mapInArrow(_write(chunk), ROWS).write.option("compression", "uncompressed").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
