@@ -11,6 +11,8 @@ table gives an empty result. `docs` must be a deterministic read (a stored table
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -25,6 +27,8 @@ from .wavelet import Shard, build
 
 #: Remembered words per worker.
 CACHE = 500_000
+#: Words that the library gets as one line.
+LINE = 256
 #: Tokens after which a file is closed.
 FILE_TOKENS = 1 << 20
 FILES = "part int, before long, n_tokens long, n_docs long, file binary"
@@ -45,6 +49,12 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            plain = json.load(f)
+        # the same vocabulary and merges for words of letters that the normaliser would not change
+        plain["normalizer"] = None
+        plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        self.plain = Tokenizer.from_str(json.dumps(plain))
         vocab = self.library.get_vocab(with_added_tokens=True)
         self.bits = max(1, max(vocab.values()).bit_length())
         self.kind = np.dtype("<u2") if self.bits <= 16 else np.dtype("<u4")
@@ -53,17 +63,24 @@ class WordEncoder:
         self.cache: dict[bytes, bytes] = {}
 
     def _letters(self, words: list[str]) -> dict[str, bytes]:
-        """Words of letters only are one pre-token each, ended by one end-of-word token: encoded as one line."""
+        """Words of letters only are one pre-token each, ended by one end-of-word token: encoded a line at a time."""
+        same = [w for w in words if w.lower() == w and unicodedata.is_normalized("NFC", w)]
+        return self._lines(self.plain, same) | self._lines(self.library, list(set(words).difference(same)))
+
+    def _lines(self, library, words: list[str]) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+        for at in range(0, len(words), LINE):
+            part = words[at : at + LINE]
+            ids = np.array(library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
             ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(part) and (not len(ids) or ends[-1] == len(ids)):
-                cuts = [0, *ends.tolist()]
-                out.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, cuts, cuts[1:], strict=False))
-            else:
+            if len(ends) != len(part) or ends[-1] != len(ids):
                 out.update(self._others(part))
+                continue
+            raw, size = ids.tobytes(), self.kind.itemsize
+            cuts = [0, *(ends * size).tolist()]
+            out.update((w, raw[a:b]) for w, a, b in zip(part, cuts, cuts[1:], strict=False))
+        if words and out[words[0]] != self._others(words[:1])[words[0]]:
+            raise ValueError(f"the library encodes {words[0]!r} in two ways")
         return out
 
     def _others(self, words: list[str]) -> dict[str, bytes]:
