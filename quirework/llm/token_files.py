@@ -12,6 +12,7 @@ table gives an empty result. `docs` must be a deterministic read (a stored table
 from __future__ import annotations
 
 import json
+import string
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 from .common import new_path, partitions, ship, texts_of
 from .wavelet import Shard, build
 
-#: Remembered words per worker.
-CACHE = 500_000
+#: Remembered words per worker (about 200 bytes each).
+CACHE = 1_200_000
+#: Punctuation that is a pre-token of its own behind a word of letters; an apostrophe may join what follows.
+MARKS = string.punctuation.replace("'", "")
 #: Words that the library gets as one line.
 LINE = 256
 #: Tokens after which a file is closed.
@@ -89,14 +92,24 @@ class WordEncoder:
     def _new(self, words: list[bytes]) -> None:
         if len(self.cache) + len(words) > CACHE:
             self.cache.clear()
-        cut = {}
+        plain, odd, ended = [], [], []
         for w in words:
             s = w.decode()
-            cut[w] = (s[:-1], s[-1]) if s[-1] in ".," and _letters_only(s[:-1]) else (s,)
-        parts = {p for x in cut.values() for p in x}
-        known = self._letters([p for p in parts if _letters_only(p)]) | self._others([p for p in parts if not _letters_only(p)])
-        for w, x in cut.items():
-            self.cache[w] = b"".join(known[p] for p in x)
+            if _letters_only(s):
+                plain.append(s)
+            elif _letters_only(head := s.rstrip(MARKS)):
+                word, mark = head.encode(), s[len(head) :]
+                ended.append((w, word, mark.encode()))
+                if word not in self.cache:
+                    plain.append(head)
+                if mark.encode() not in self.cache:
+                    odd.append(mark)
+            else:
+                odd.append(s)
+        for s, ids in (self._letters(list(dict.fromkeys(plain))) | self._others(list(dict.fromkeys(odd)))).items():
+            self.cache[s.encode()] = ids
+        for w, word, mark in ended:
+            self.cache[w] = self.cache[word] + self.cache[mark]
 
     def encode(self, text: bytes) -> bytes:
         # the vocabulary is lower case; a text that may hold a special token is left as it is
