@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import texts, values
-from ..operators import evidence, extract, flatten, fold, grouping, sample, split, validate
+from ..functions import payload, texts, values
+from ..operators import discover, evidence, extract, flatten, fold, grouping, mixed, sample, split, validate
 from ..sources.tables import document_pages, event_pages, order_lines, table, turn_pages
 from ..specs import normalize_fields
 from ..storage import materialise
@@ -435,6 +435,45 @@ def document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.document_ids(heads, ["filename", "first_page"]).select(F.col("filename").alias("user_id"), "first_page", "document_id")
 
 
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS fenced, CAST(json_extract(props, '$.k') AS BIGINT) AS cut, 2 AS n_items FROM events")
+def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with fences and thoughts, cut off, and lists instead of objects."""
+    p = F.col("props")
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("<think>{no}</think>```json\n"), p, F.lit("\n```")).alias("a"), F.concat(F.regexp_replace(p, r"\}\s*$", ""), F.lit(', "rows": [1, 2')).alias("b"), F.concat(F.lit("found: ["), p, F.lit(","), p, F.lit(",]")).alias("c"))
+    parsed = payload.parse_payload(payload.parse_payload(payload.parse_payload(rows, "a", "pa"), "b", "pb"), "c", "pc")
+    k = lambda c: F.try_variant_get(F.col(c), "$.k", "bigint")
+    return parsed.select("event_id", k("pa").alias("fenced"), k("pb").alias("cut"), F.size(F.try_variant_get(F.col("pc"), "$.items", "array<variant>")).alias("n_items"))
+
+
+@query(
+    """WITH l AS (SELECT lower(o_orderstatus) AS type_key, o_orderkey, unnest(['No', 'Date', 'Total']) AS label FROM orders),
+c AS (SELECT type_key, label, count(*) AS pages FROM l GROUP BY 1, 2)
+SELECT type_key, CAST(row_number() OVER (PARTITION BY type_key ORDER BY pages DESC, lower(label)) AS INTEGER) AS place, label, pages, CAST(1 AS DOUBLE) AS coverage,
+       CASE WHEN label = 'Total' THEN pages ELSE 0 END AS numbers, CASE WHEN label = 'Date' THEN pages ELSE 0 END AS dates FROM c"""
+)
+def schema_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of page texts made from orders, per status as type."""
+    body = F.concat(F.lit("No: N-"), F.col("o_orderkey").cast("string"), F.lit("\nDate："), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("\n total text\nTotal: "), F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
+    pages = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", body.alias("text"))
+    return discover.inventories(pages, "o_orderstatus", ["o_orderkey"])
+
+
+@query(
+    f"""WITH a AS ({EVENTS}), x AS (SELECT f, p, event_type, value, p - (p - 1) % 3 AS d FROM a),
+h AS (SELECT f, d, min(p) AS first, arg_min(event_type, p) AS s FROM x GROUP BY f, d),
+n AS (SELECT *, row_number() OVER (ORDER BY f, first) AS k FROM h)
+SELECT 'mix_doc_' || CASE WHEN k < 10000 THEN lpad(k::VARCHAR, 4, '0') ELSE k::VARCHAR END AS document_id, s AS schema_type, string_agg(x.p::VARCHAR, '+' ORDER BY x.p) AS pages, arg_min(value, x.p) AS value
+FROM x JOIN n ON n.f = x.f AND n.d = x.d WHERE s IN ('purchase', 'view') GROUP BY k, s"""
+)
+def mixed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three events of a user are a document; purchases and views have schemas, the others have none."""
+    pages = materialise(event_pages(spark, sf_dir).withColumn("anchor", F.col("page") - (F.col("page") - 1) % 3), "event-pages")
+    specs = normalize_fields([{"key": "value", "type": "number"}])
+    found = mixed.assemble(pages, {"purchase": specs, "view": specs}, "event_type")
+    parts = [df.select("document_id", F.lit(name).alias("schema_type"), "pages", "value") for name, df in found.items()]
+    return parts[0].unionByName(parts[1])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which orders' declared totals disagree with their lines: lines are pages that continue the order's first one."""
     lines = order_lines(spark, sf_dir)
