@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.evidence import safe_name, sniff, unique_names
+from ..storage import ship
 
 PAGES = "filename string, page int, plain string, layout string, image_share double, ink double, error string"
 #: A decoder turns (format, bytes) into pages as (plain text, layout text, image share, ink share or None).
@@ -18,6 +19,7 @@ MAX_BYTES = 200 * 1024 * 1024
 
 def files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """filename (unique), format and content of the files at path, without those above max_bytes."""
+    ship(spark)
     found = spark.read.format("binaryFile").load(path).filter(F.col("length") <= max_bytes)
     named = unique_names(found.select("path", safe_name(F.col("path")).alias("name"), "content"), "name", "path")
     return named.select(F.col("unique_name").alias("filename"), sniff(F.col("content"), F.col("path")).alias("format"), "content")

@@ -2,13 +2,32 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_PACKAGE = Path(__file__).resolve().parent
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the executors of any cluster, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quirework_shipped", False):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="quirework-"), f"quirework-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(_PACKAGE.rglob("*.py")):
+            z.write(f, f.relative_to(_PACKAGE.parent))
+    sc.addPyFile(path)  # the driver serves it; executors do not see the driver's folder
+    sc._quirework_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a folder of our own where it is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
