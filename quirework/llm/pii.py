@@ -1,8 +1,8 @@
 """Personal data: base patterns, and a semi-Markov conditional random field that adds spans.
 
 The base patterns (email, ip, card, phone) are matched in linear time over the whole text. The field looks at zones of a
-text where something like personal data may stand (signs of an address, or clusters of seven or more digits) and no base
-span does: a zone is cut in tokens, every run of up to LONGEST tokens is a candidate segment scored for each kind by
+text where something like personal data may stand (signs of an address, clusters of seven or more digits over any white
+space, or four short numbers with dots between them, however few their digits) and no base span does: a zone is cut in tokens, every run of up to LONGEST tokens is a candidate segment scored for each kind by
 features of the whole span and its surroundings, and dynamic programming over bounded segments chooses boundaries and
 kinds together. Typical finds are obfuscated addresses, phones without a plus sign, and a phone and a card side by side
 that no pattern can tell apart. Base spans stay and added spans never overlap them.
@@ -98,7 +98,8 @@ def base_spans(text: str) -> list[Span]:
 # --- zones and tokens ---------------------------------------------------------------------------------------------
 
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|[^A-Za-z0-9\s]")
-_CLUSTER = re.compile(r"(?:\+|\()?[0-9](?:[ ().\-/\[\]+]{0,3}[0-9])+")
+_CLUSTER = re.compile(r"(?:\+|\()?[0-9](?:[\s().\-/\[\]+]{0,3}[0-9])+")
+_FOUR_PARTS = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\s?[\[(]?\.[\])]?\s?[0-9]{1,3}){3}(?![0-9])")
 _SIGN = re.compile(r"@|[\[({<]\s?(?:at|AT|At)\s?[\])}>]|\s(?:at|AT)\s(?=[A-Za-z0-9-]{1,40}(?:\s?[\[(]?\s?(?:dot|DOT)\b|\.[A-Za-z]))")
 _BEFORE = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?\Z")
 _AFTER = re.compile(r"\s?[A-Za-z0-9-]{1,64}(?:(?:\s?[\[({]\s?(?:dot|DOT)\s?[\])}]\s?|\s(?:dot|DOT)\s|\.)[A-Za-z0-9-]{1,63}){0,8}")
@@ -114,6 +115,8 @@ def zones(text: str, base: list[Span]) -> list[tuple[int, int]]:
             found.append((left.start(), right.end()))
     if _DIGIT.search(text):
         found += [m.span() for m in _CLUSTER.finditer(text) if m.end() - m.start() >= 7 and sum(map(str.isdigit, m.group())) >= 7]
+        if "." in text:
+            found += [m.span() for m in _FOUR_PARTS.finditer(text)]
     out: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if out and a < out[-1][1]:
@@ -148,8 +151,10 @@ _EMAIL_LIKE = re.compile(r"[A-Za-z0-9._%+-]+\s?(?:@|[\[({<]\s?at\s?[\])}>]|\sat\
 _FOUR = re.compile(r"[0-9]{1,3}(?:\s?[\[(]?\.[\])]?\s?[0-9]{1,3}){3}\Z")
 _GROUPS = re.compile("[0-9]+")
 _GOES_ON = re.compile(r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s)[A-Za-z0-9]", re.I)
-_JOINED_BEFORE = re.compile(r"[0-9][-/.]\Z")
-_JOINED_AFTER = re.compile(r"[-/.][0-9]")
+_JOINED_BEFORE = re.compile(r"[0-9](?:[-/.]|\s?[\[(]\.[\])]\s?)\Z")
+_JOINED_AFTER = re.compile(r"(?:[-/.]|\s?[\[(]\.[\])]\s?)[0-9]")
+#: A dot as sentences and lists have it.
+_LIST_DOT = re.compile(r"[0-9]\.\)?\s")
 _PHONE_SHAPES = ("3-3-4", "1-3-3-4", "2-2-4-4", "2-4-4", "3-4-4", "2-3-3-4", "2-3-4-4", "2-2-2-2-2-2", "2-3-4-3", "2-1-2-2-2-2", "2-2-3-4", "2-4-6", "2-3-6")
 _CARD_SHAPES = ("16", "15", "4-4-4-4", "4-6-5", "13", "4-4-4-4-3", "19")
 
@@ -166,6 +171,7 @@ def span_features(text: str, start: int, end: int) -> list[float]:
     letters = any(map(str.isalpha, s))
     like = bool(_EMAIL_LIKE.match(s)) if letters else False
     four = bool(_FOUR.match(s)) and all(int(g) <= 255 for g in groups)
+    listed = four and bool(_LIST_DOT.search(s))
     balanced = s.count("(") == s.count(")") and s.count("[") == s.count("]")
     return [
         1.0,
@@ -200,10 +206,14 @@ def span_features(text: str, start: int, end: int) -> list[float]:
         float("/" in s or "," in s or ":" in s),
         float(s.count("+") > 1),
         float("." in s and not letters),
-        float("  " in s or "\n" in s),
+        float("  " in s),
+        float("\n" in s),
+        float("\t" in s),
+        float(listed),
+        float(listed and n < 7),
         float(len(set(digits)) < 3 and n > 6),
         float(letters and bool(_GOES_ON.match(text, end, end + 16))),
-        float(bool(_JOINED_BEFORE.search(text, max(0, start - 2), start) or _JOINED_AFTER.match(text, end, end + 2))),
+        float(bool(_JOINED_BEFORE.search(text, max(0, start - 6), start) or _JOINED_AFTER.match(text, end, end + 6))),
     ]
 
 
@@ -312,31 +322,45 @@ def _example(rnd: random.Random) -> tuple[str, list[Span]]:
         return word() + rnd.choice(["", "." + word(), digits(2), "_" + word()]) + at + word() + rnd.choice(["", digits(1)]) + dot + rnd.choice(["com", "org", "net", "de", "example" + dot + "com", "co" + dot + "uk"])
 
     def ip() -> str:
-        dot = rnd.choice(["[.]", "(.)", " . ", " [.] ", "."])
-        return dot.join(str(rnd.randint(0, 255)) for _ in range(4))
+        dots, few = [rnd.choice(["[.]", "(.)", " . ", " [.] ", ".", "[.]", ". "])] * 3, rnd.random() < 0.4
+        if few and dots[0] == ". ":  # these are taken for lists
+            dots = ["[.]"] * 3
+        if "[" in dots[0] and rnd.random() < 0.2:
+            dots[:2] = rnd.choice([("[.]", "."), (".", "."), (".", "[.]")])
+        parts = [str(rnd.choice([0, 1, 8, 10, 127, rnd.randint(0, 99)]) if few else rnd.randint(0, 255)) for _ in range(4)]
+        return "".join(map(str.__add__, parts, [*dots, ""]))
+
+    def spaced(text: str) -> str:
+        """Often with other white space between the groups of digits."""
+        if " " not in text or rnd.random() < 0.6:
+            return text
+        if text[0] == "+" and rnd.random() < 0.1:
+            return text.replace(" ", "\n", 1)
+        return text.replace(" ", rnd.choice(["\u00a0", "\u202f", "\t", "\u2009", "  "]))
 
     def a_card() -> str:
         n = rnd.choice([16, 16, 16, 15])
         c, gap = card(n), rnd.choice(["", "", " ", "-", "."])
-        return gap.join((c[:4], c[4:8], c[8:12], c[12:])) if n == 16 else gap.join((c[:4], c[4:10], c[10:]))
+        return spaced(gap.join((c[:4], c[4:8], c[8:12], c[12:])) if n == 16 else gap.join((c[:4], c[4:10], c[10:])))
 
     def phone() -> str:
         area, one, two = str(rnd.randint(200, 989)), str(rnd.randint(200, 989)), digits(4)
-        return rnd.choice([f"+1 ({area}) {one}-{two}", f"+1 ({area}) {one}-{two}", f"+1 {area} {one} {two}", f"+1-{area}-{one}-{two}", f"({area}) {one}-{two}", f"{area}-{one}-{two}", f"{area}.{one}.{two}", f"+44 20 {digits(4)} {digits(4)}", f"+49 30 {digits(3)} {digits(4)}", f"+33 {digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}", f"+{rnd.randint(20, 99)} {digits(3)} {digits(6)}"])
+        return spaced(rnd.choice([f"+1 ({area}) {one}-{two}", f"+1 ({area}) {one}-{two}", f"+1 {area} {one} {two}", f"+1-{area}-{one}-{two}", f"({area}) {one}-{two}", f"{area}-{one}-{two}", f"{area}.{one}.{two}", f"+44 20 {digits(4)} {digits(4)}", f"+49 30 {digits(3)} {digits(4)}", f"+33 {digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}", f"+{rnd.randint(20, 99)} {digits(3)} {digits(6)}"]))
 
     def none() -> str:
         bad = card(16)
         bad = bad[:-1] + str((int(bad[-1]) + rnd.randint(1, 9)) % 10)
-        gap = rnd.choice([" ", "-", "."])
-        return rnd.choice([
+        gap, dot, first = rnd.choice([" ", "-", "."]), rnd.choice(["[.]", "(.)", " [.] "]), rnd.randint(0, 20)
+        return spaced(rnd.choice([
             f"{rnd.randint(1900, 2099)}-{rnd.randint(1, 12):02}-{rnd.randint(1, 28):02}", f"{rnd.randint(1, 28)}/{rnd.randint(1, 12)}/{rnd.randint(1900, 2099)}", f"{rnd.randint(1900, 2099)}{rnd.randint(1, 12):02}{rnd.randint(1, 28):02}", bad, gap.join((bad[:4], bad[4:8], bad[8:12], bad[12:])), digits(10), digits(12), digits(8), digits(7), digits(20), digits(24), f"{digits(3)}-{digits(4)}", f"{rnd.randint(1, 20)}.{rnd.randint(0, 20)}.{digits(5)}", f"{rnd.randint(256, 999)}.{rnd.randint(0, 999)}.{rnd.randint(300, 999)}.{rnd.randint(0, 255)}", f"978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", word() + digits(9), digits(8) + word(), f"{word()} at {word()} {word()}", f"{word()}@{word()}", f"at {digits(2)}", f"{digits(3)} {digits(3)} {digits(3)} {digits(3)}", f"{rnd.randint(1900, 2099)} {rnd.randint(1900, 2099)} {rnd.randint(1900, 2099)}", f"{digits(1)}.{digits(8)}", f"({rnd.randint(1900, 2099)}) {digits(4)}-{digits(4)}",
-        ])
+            rnd.choice([". ", ".) "]).join(str(first + k) for k in range(4)), ". ".join(digits(1) for _ in range(4)), dot.join(str(rnd.randint(0, 99)) for _ in range(rnd.choice([3, 5, 6]))), dot.join(str(rnd.randint(256, 999)) for _ in range(4)), "\n".join(digits(rnd.randint(1, 4)) for _ in range(4)), "\t".join(digits(rnd.randint(1, 3)) for _ in range(5)),
+        ]))
 
     makers = [email, ip, a_card, phone]
     text, spans = rnd.choice(["", word() + " "]), []
     for i in range(rnd.randint(1, 3)):
         if i:
-            text += rnd.choice([" ", " ", " ", " " + word() + " ", ", "])
+            text += rnd.choice([" ", " ", " ", " " + word() + " ", ", ", "\n", "\t", "\u00a0"])
         kind = rnd.randrange(9)
         if kind < 4:
             made = makers[kind]()

@@ -229,6 +229,34 @@ def test_field_on_unseen_zones():
     assert [(pii.KINDS[k], text[a:b]) for a, k, b in field.added(text, [])] == [("phone", "+1 (269) 555-3296"), ("card", "4524132264652876"), ("email", "john [at] mail [dot] example [dot] com")]
 
 
+def test_field_finds_in_whole_texts():
+    """Through the zones: numbers over any white space, and obfuscated addresses of few digits."""
+    field, rnd = pii.field(), random.Random(77)
+
+    def found(text):
+        return [(pii.KINDS[k], text[a:b]) for a, k, b in field.added(text, pii.base_spans(text))]
+
+    for gap in ("\u00a0", "\u202f", "\u2009", "\t"):
+        for kind, value in [("phone", "+1 415 555 2671"), ("phone", "+44 20 7946 0958"), ("card", "4111 1111 1111 1111"), ("card", "3782 822463 10005")]:
+            value = value.replace(" ", gap)
+            assert found(f"Some words, then {value} and more.") == [(kind, value)]
+    for value in ["10[.]0[.]0[.]1", "8[.]8[.]8[.]8", "127[.]0[.]0[.]1", "8(.)8(.)4(.)4", "1 [.] 1 [.] 1 [.] 1", "10.0.0[.]1", "192 [.] 168 [.] 100 [.] 200"]:
+        assert found(f"Some words, then {value} and more.") == [("ip", value)]
+    for text in ["1. 2. 3. 4. five", "1.) 2.) 3.) 4.)", "1[.]3[.]6[.]1[.]4", "300[.]1[.]2[.]3", "1[.]2[.]3", "2019\n2020\n2021\n2022", "12\t34\t56\t78"]:
+        assert found(text) == []
+    right = missed = 0
+    for _ in range(400):
+        made, gold = pii._example(rnd)
+        text, base = f"Before it, {made} after it.", pii.base_spans(f"Before it, {made} after it.")
+        got = set(field.added(text, base)) | set(base)
+        for a, k, b in gold:
+            if (a + 11, k, b + 11) in got:
+                right += 1
+            elif not any(x < b + 11 and a + 11 < y for x, _, y in base):
+                missed += 1
+    assert right / (right + missed) > 0.97
+
+
 def test_segmentation_marginals():
     """Against all segmentations of a short zone."""
     bounds = np.array([(0, 1), (0, 2), (1, 3), (2, 3)])
