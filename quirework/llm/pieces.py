@@ -4,8 +4,9 @@ A text is escaped (space to U+2581, with a dummy prefix), cut where no vocabular
 is encoded by a score-ordered agenda: all adjacent symbol pairs that form a vocabulary piece wait in a heap by
 (score, leftmost first); the best is merged, its new neighbours enter, pairs whose symbols are gone are skipped.
 Symbols outside the vocabulary fall back to bytes. Every piece is encoded once per worker and remembered up to
-CACHE pieces; in each Arrow batch all pieces new to the worker and one whole text are checked against the
-sentencepiece library, and a difference stops the job. Decoding is the library's.
+CACHE pieces. Checked against the sentencepiece library are all pieces new to the worker (also those behind a newline,
+and of runs of spaces), one whole text of each run of up to BATCH texts, chosen by a hash whatever its length, and texts
+with more pieces than can be remembered; a difference stops the job. Decoding is the library's.
 
 Edge cases: null and empty texts give only begin and end ids; very long texts and pieces cost n log n; rows repeated
 in every column are separate rows; other columns are not read. An empty table gives an empty result.
@@ -17,6 +18,7 @@ import hashlib
 import heapq
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -160,24 +162,35 @@ class Encoder:
     def _new(self, keys: list[str]) -> None:
         if len(self.cache) + len(keys) > CACHE:
             self.cache.clear()
-        encode, plain = self.vocabulary.encode_piece, []
+        encode = self.vocabulary.encode_piece
+        mark, line = encode(SPACE), encode("\n")
+        texts, wholes = [], []  # what the library is given, and all ids that it should return
         for key in keys:
             if key[0] == "\0":
                 ids = encode(key[1:])
+                if key[1] == SPACE and len(key) > 2:  # the library adds the first mark itself
+                    texts.append(key[2:])
+                    wholes.append(ids)
+                else:
+                    texts.append("\n" + key[1:])
+                    wholes.append(mark + line + ids)
             elif key[0] == "\n":
-                ids = encode("\n") + encode(key[1:])
+                ids = line + encode(key[1:])
+                texts.append(key)
+                wholes.append(mark + ids)
             else:
                 ids = encode(SPACE + key)
-                plain.append((key, ids))
+                texts.append(key)
+                wholes.append(ids)
             self.cache[key] = np.array(ids, "<u4").tobytes()
-        for (key, ids), right in zip(plain, self.library.encode([k for k, _ in plain], num_threads=1), strict=True):
+        for text, ids, right in zip(texts, wholes, self.library.encode(texts, num_threads=1), strict=True):
             if ids != right:
-                raise ValueError(f"the agenda and the library differ on {key!r}: {ids} and {right}")
+                raise ValueError(f"the agenda and the library differ on {text!r}: {ids} and {right}")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text with begin and end ids, as little-endian unsigned 32-bit integers."""
         lists = [self._pieces(t) for t in texts]
-        out = []
+        out, checked = [], []
         for pieces in lists:
             try:
                 body = b"".join(map(self.cache.__getitem__, pieces))
@@ -189,11 +202,13 @@ class Encoder:
                 try:
                     body = b"".join(map(self.cache.__getitem__, pieces))
                 except KeyError:
+                    checked.append(len(out))
                     body = np.array(self.vocabulary.encode_piece((" " + "".join(texts[len(out)])).replace(" ", SPACE)), "<u4").tobytes()
             out.append(self.ends[0] + body + self.ends[1])
         if texts:
-            whole = min(range(len(texts)), key=lambda i: (not texts[i], len(texts[i])))
-            if np.frombuffer(out[whole], "<u4").tolist() != self.library.encode(texts[whole], add_bos=True, add_eos=True):
+            checked.append(min(range(len(texts)), key=lambda i: (not texts[i], zlib.crc32(out[i]))))
+        for i in checked:
+            if np.frombuffer(out[i], "<u4").tolist() != self.library.encode(texts[i], add_bos=True, add_eos=True):
                 raise ValueError("the agenda and the library differ on a whole text")
         return out
 

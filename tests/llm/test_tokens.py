@@ -40,6 +40,38 @@ def test_a_difference_stops_the_job():
         own.encode(["international understanding"])
 
 
+@pytest.mark.parametrize("key, piece", [("\nwort", "wort"), ("\0wort", "wort"), ("\0▁wort", "▁wort"), ("\0▁▁▁wort", "▁▁▁wort"), ("\0▁▁", "▁▁"), ("\0▁", "▁"), ("\0\n", "\n"), ("\0\0x", "\0x")])
+def test_every_kind_of_piece_is_checked(key, piece):
+    own = pieces.Encoder(PIECES)
+    own._new([key])
+    right = own.vocabulary.encode_piece
+    own.vocabulary.encode_piece = lambda text: [5, *right(text)[1:]] if text == piece else right(text)
+    with pytest.raises(ValueError):
+        own._new([key])
+
+
+def test_whole_texts_of_any_length_are_checked(monkeypatch):
+    own, stopped = pieces.Encoder(PIECES), 0
+    texts = [[f"a{i}", f"wort  and some more\nwords {i}" * 9] for i in range(40)]
+    for t in texts:
+        own.encode(t)
+    own.cache["\0▁▁and"] = own.cache["\0▁more"]
+    for t in texts:
+        try:
+            own.encode(t)
+        except ValueError:
+            stopped += 1
+    assert 5 < stopped < 35
+    monkeypatch.setattr(pieces, "CACHE", 5)
+    own = pieces.Encoder(PIECES)
+    own._new([f"w{i}" for i in range(6)])
+    right = own.vocabulary.encode_piece
+    own.vocabulary.encode_piece = lambda text: right(text) if len(text) < 20 else right(text)[::-1]
+    own._new = lambda keys: None
+    with pytest.raises(ValueError):
+        own.encode(["a", " ".join(f"v{i}" for i in range(20))])
+
+
 def test_pieces_on_odd_rows(spark, odd, odd_rows, none):
     own = pieces.Encoder(PIECES)
     want = Counter()
