@@ -357,9 +357,9 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def diverse_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to 16 differing passages of the benchmark, which is one file here."""
+    """Up to SAMPLE_PAGES differing passages of the benchmark, which is one file here."""
     pages = table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("filename"), F.col("item_id").alias("page"), "text", F.lit("native").alias("kind"))
-    return sample.representative(pages, 16)
+    return sample.representative(pages)
 
 
 @query("SELECT o_orderkey, 'N-' || o_orderkey AS number, strftime(o_orderdate, '%Y-%m-%d') AS day, o_totalprice AS total, o_orderstatus = 'F' AS closed, 2 AS n_rows, o_custkey::VARCHAR AS first_cell FROM orders")
