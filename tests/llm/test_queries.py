@@ -1,11 +1,18 @@
 """The registered queries: SQL where there is some, the pipeline stage by stage."""
 
+import hashlib
+from collections import Counter, defaultdict
+
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from test_dedup import component_model, fingerprint_model, norm
+from test_models import WORD
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from quirework.llm import queries
+from quirework.llm import mixing, pieces, queries, toxicity
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -37,3 +44,87 @@ def test_pipeline(spark, small, tmp_path):
     assert counts[0] > counts[1] >= counts[2] >= counts[3] and counts[4] == counts[5] > 0
     whole = corpus_pipeline.run(spark, small)
     assert whole.count() == counts[5] and sorted(r.ids_sha256 for r in whole.collect()) == sorted(r.ids_sha256 for r in docs.collect())
+
+
+def mixed_model(rows, hashes):
+    """Rows of the mix by walking each source's words: rows are dicts, hashes give the place of an id in the stream."""
+    count = lambda r: len(WORD.findall(r["text"] or ""))
+    of = defaultdict(list)
+    for r in rows:
+        of[r["source"]].append(r)
+    names = sorted(of, key=lambda s: (s is None, s or ""))
+    sizes = [sum(map(count, of[s])) for s in names]
+    plan = mixing.Plan(list(zip(names, sizes, strict=True)), (5, 2, 1), 1.5, 2.0, mixing.SEED)
+    targets = mixing.targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))])
+    buckets = min(mixing.MAX_BUCKETS, max(1, len(rows) // mixing.BUCKET_ROWS))
+    out = []
+    for code, s in enumerate(names):
+        order = sorted(of[s], key=lambda r: (hashes[r["doc_id"]] % buckets, hashes[r["doc_id"]]))
+        stream = [(i, k) for i, r in enumerate(order) for k in range(count(r))]
+        blocks = [stream[a : a + plan.block] for a in range(0, len(stream), plan.block)]
+        left, turn = round(targets[code]), 0
+        while left and stream:
+            rank, words = mixing.permute(np.arange(len(blocks)), len(blocks), plan.key(code, turn)).tolist(), []
+            for b in range(len(blocks)) if left >= len(stream) else sorted(range(len(blocks)), key=rank.__getitem__):
+                taken = blocks[b][:left]
+                words += taken
+                left -= len(taken)
+            runs = []
+            for i, k in sorted(words):
+                if runs and runs[-1][0] == i and runs[-1][2] == k:
+                    runs[-1][2] = k + 1
+                else:
+                    runs.append([i, k, k + 1])
+            for i, a, b in runs:
+                text, spans = order[i]["text"], [m.span() for m in WORD.finditer(order[i]["text"])]
+                cut = text if b - a == len(spans) else text[spans[a][0] : spans[b - 1][1]]
+                out.append(order[i] | {"text": cut, "n_chars": len(cut)})
+            turn += 1
+    return out
+
+
+def test_pipeline_keeps_the_right_rows(spark, small, tmp_path):
+    """Each stage's rows, every column, against a brute-force model of the stage on the rows before it."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    columns, stages = docs.columns, dict(corpus_pipeline.STAGES)
+    as_rows = lambda df: [r.asDict() for r in df.collect()]
+    multiset = lambda rows: Counter(tuple(r[c] for c in columns) for r in rows)
+
+    def through(name, docs):
+        stages[name](spark, docs, small).write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        return out, as_rows(out)
+
+    rows = as_rows(docs)
+    # scores are learned: the model is fitted once, and every text is decided alone
+    model = toxicity.learn(docs.select("doc_id", "text"), spark.read.parquet(f"{small}/labels.parquet"))
+    want = [r for r in rows if model.scores([(r["text"] or "").encode()])[0] < toxicity.THRESHOLD]
+    docs, got = through("toxicity", docs)
+    assert multiset(got) == multiset(want) and len(got) < len(rows)
+
+    groups = defaultdict(list)
+    for r in got:
+        groups[norm(r["text"])].append(r)
+    want = [min(g, key=lambda r: (-len(r["text"] or ""), r["doc_id"] is None, r["doc_id"] or 0)) for g in groups.values()]
+    docs, got = through("exact dedup", docs)
+    assert multiset(got) == multiset(want)
+
+    groups = defaultdict(list)
+    for r, label in zip(got, component_model([fingerprint_model(r["text"]) for r in got]), strict=True):
+        groups[label].append(r)
+    want = [min(g, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0)) for g in groups.values()]
+    docs, got = through("near dedup", docs)
+    assert multiset(got) == multiset(want)
+
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("long"), F.lit(mixing.SEED)).alias("h")).collect()}
+    assert len(hashes) == len(got)
+    want = mixed_model(got, hashes)
+    docs, got = through("mixing", docs)
+    assert multiset(got) == multiset(want)
+
+    library, want = pieces.Encoder(queries.tokenizer_file("piece_bpe_32k.model")).library, Counter()
+    for r in got:
+        ids = library.encode(r["text"] or "", add_bos=True, add_eos=True)
+        want[r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest(), tuple(ids)] += 1
+    _, got = through("tokens", docs)
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"], tuple(r["ids"])) for r in got) == want
