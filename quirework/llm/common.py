@@ -1,38 +1,17 @@
-"""Helpers that the training-data operators share: tables, shared storage, size-checked broadcasts."""
+"""Helpers that the training-data operators share: tables and columns; storage and counted broadcasts are the library's."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 import pyarrow as pa
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The ASCII white space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
-WHITE = b" \t\n\x0b\x0c\r"
-#: A side of a join is broadcast only if its counted rows (of a few fixed-width columns) stay within this.
-BROADCAST_ROWS = 1_000_000
-
-_PACKAGE = Path(__file__).resolve().parents[1]
+from ..storage import BROADCAST_ROWS, materialise, new_path, release, remove, ship, small_or_not
 
+__all__ = ["BROADCAST_ROWS", "WHITE", "fresh", "materialise", "new_path", "partitions", "release", "remove", "ship", "small_or_not", "table", "texts_of", "without_rows"]
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors of any cluster, once per application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_quirework_shipped", False):
-        return
-    name = f"quirework-{uuid.uuid4().hex[:8]}.zip"
-    path = os.path.join(SparkFiles.getRootDirectory() if os.path.isdir(SparkFiles.getRootDirectory()) else tempfile.gettempdir(), name)
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(_PACKAGE.rglob("*.py")):
-            z.write(f, f.relative_to(_PACKAGE.parent))
-    sc.addPyFile(path)
-    sc._quirework_shipped = True
+#: The ASCII white space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
+WHITE = b" \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,43 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(spark.sparkContext, "_quirework_dir", None)
-        if found is None:
-            found = spark.sparkContext._quirework_dir = f"file://{tempfile.mkdtemp(prefix='quirework-')}"
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared one; it goes when the application ends."""
-    path = f"{shared_dir(spark)}/quirework/{name}-{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it again: lineage ends there, and every
-    executor can read it after others are lost."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint on a materialised df of at most `rows` rows; beyond that df itself, for a shuffled join."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """The name, or the name with marks behind it that no column of df has (in any case of letters)."""
     taken = {c.lower() for c in df.columns}
