@@ -13,7 +13,8 @@ equal if length, SHA-1 and SHA-256 are.
 Edge cases: null html is an empty payload; empty and short payloads are always responses; a null url has no target
 header; a null page id is the smallest; rows repeated in every column are separate records, of which one is the
 response; other columns are not read. An empty table gives an empty archive. `pages` must be a deterministic read (a
-stored table), as it is scanned twice.
+stored table), as it is scanned twice. A record that lacks a row (the first, one between, or the last), has one twice or has
+changed bytes stops the reading with an error; only a record all of whose rows are gone leaves no sign.
 """
 
 from __future__ import annotations
@@ -151,19 +152,25 @@ class Reader:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    readers: dict[str, Reader] = {}
+    readers: dict[str, tuple[Reader, int]] = {}
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
     for batch in batches:
         rows = []
-        for record, last, data, sha1 in zip(batch.column("record").to_pylist(), batch.column("last").to_pylist(), batch.column("data"), batch.column("payload_sha1").to_pylist(), strict=True):
-            reader = readers.pop(record, None) or Reader()
+        for record, chunk, last, data, sha1 in zip(batch.column("record").to_pylist(), batch.column("chunk").to_pylist(), batch.column("last").to_pylist(), batch.column("data"), batch.column("payload_sha1").to_pylist(), strict=True):
+            reader, wanted = readers.pop(record, None) or (Reader(), 0)
+            if chunk != wanted:
+                raise ValueError(f"record {record}: chunk {wanted} is missing or comes twice")
+            if readers:  # rows of a record stand together, in order: another one must have ended
+                raise ValueError(f"record {next(iter(readers))}: its last chunk is missing")
             done = reader.row(data.as_py(), last, sha1)
             if done is None:
-                readers[record] = reader  # rows of a record stand together: one is open at a time
+                readers[record] = reader, chunk + 1
             else:
                 rows.append(done)
         if rows:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+    if readers:
+        raise ValueError(f"record {next(iter(readers))}: its last chunk is missing")
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_rows: int = BROADCAST_ROWS, chunk: int = CHUNK) -> None:

@@ -144,6 +144,27 @@ def test_warc(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [0, 4, 8])
+@pytest.mark.parametrize("twice", [False, True])
+def test_a_lost_or_repeated_chunk_is_found(spark, tmp_path, chunk, twice):
+    pages = spark.createDataFrame([(1, "u", "".join(chr(97 + i % 26) for i in range(9_000))), (2, "u", "short")], "page_id long, url string, html string")
+    where = f"file://{tmp_path}/warc"
+    warc.write(pages, where, chunk=1000)
+    rows = spark.read.parquet(where)
+    assert rows.count() == 10 and warc.read(spark, where).count() == 2
+    long = rows.filter("chunk > 0 or not last")
+    broken = rows.unionByName(long.filter(long.chunk == chunk)) if twice else rows.filter((rows.chunk != chunk) | (rows.last & (rows.chunk == 0)))
+    broken.write.parquet(f"{where}-broken")
+    with pytest.raises(Exception, match="is missing"):
+        warc.read(spark, f"{where}-broken").collect()
+
+
+def test_an_empty_archive_exports(spark, tmp_path):
+    warc.write(spark.createDataFrame([], PAGES), f"file://{tmp_path}/warc")
+    warc.export(spark, f"file://{tmp_path}/warc", str(tmp_path / "none.warc.gz"))
+    assert (tmp_path / "none.warc.gz").read_bytes() == b"" and warc.read(spark, f"file://{tmp_path}/warc").count() == 0
+
+
 def test_a_changed_payload_is_found(spark):
     row = {"page_id": 1, "uid": 1, "url": None, "ref_uid": None, "ref_page_id": None}
     import zlib as z
