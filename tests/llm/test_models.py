@@ -57,9 +57,97 @@ def test_mix_on_odd_rows(spark, odd, odd_rows, none):
     assert mixing.mix(none).taken().count() == 0 and mixing.mixed_texts(none).count() == 0
 
 
+def mixed_pieces(spark, rows):
+    """Every piece of the mix of rows (dicts), by walking each source's words, its draws one by one, and the leaves of
+    the tree: (place in rows, turn, first word, words, shard, place in the shard)."""
+    count = lambda r: len(WORD.findall(r["text"] or ""))
+    hashed = spark.createDataFrame([(i, r["doc_id"], r["text"] or "") for i, r in enumerate(rows)], "i int, doc_id long, text string")
+    h = {r.i: r.h for r in hashed.select("i", F.xxhash64("doc_id", "text", F.lit(mixing.SEED)).alias("h")).collect()}
+    of = defaultdict(list)
+    for i, r in enumerate(rows):
+        of[r["source"]].append(i)
+    names = sorted(of, key=lambda s: (s is None, s or ""))
+    sizes = [sum(count(rows[i]) for i in of[s]) for s in names]
+    plan = mixing.Plan(list(zip(names, sizes, strict=True)), (5, 2, 1), 1.5, 2.0, mixing.SEED)
+    targets = mixing.targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))])
+    out = []
+    for code, s in enumerate(names):
+        stream = [(i, k) for i in sorted(of[s], key=lambda i: h[i]) for k in range(count(rows[i]))]
+        blocks = [stream[a : a + plan.block] for a in range(0, len(stream), plan.block)]
+        left, turn, draw = round(targets[code]), 0, 0
+        while left and blocks:
+            rank = mixing.permute(np.arange(len(blocks)), len(blocks), plan.key(code, turn)).tolist()
+            for b in sorted(range(len(blocks)), key=rank.__getitem__):
+                words, left = blocks[b][:left], left - min(left, len(blocks[b]))
+                shard = next(k for k in range(plan.shards) if plan.leaves[k][code] <= draw < plan.leaves[k + 1][code])
+                for i in dict.fromkeys(i for i, _ in words):
+                    mine = [k for j, k in words if j == i]
+                    out.append((i, turn, mine[0], len(mine), shard, s, draw))
+                draw += 1
+                if not left:
+                    break
+            turn += 1
+    assert [n for n in plan.leaves[-1].tolist()] == [sum(1 for _ in {x[6] for x in out if x[5] == s}) for s in names]
+    placed = spark.createDataFrame([(n, x[4], x[5], x[6], rows[x[0]]["doc_id"], x[2]) for n, x in enumerate(out)], "n int, shard long, source string, draw long, doc_id long, first_word long")
+    at = {r.n: r.h for r in placed.select("n", F.xxhash64(F.lit(mixing.SEED), "shard", "source", "draw", "doc_id", "first_word").alias("h")).collect()}
+    return [(*x[:5], at[n]) for n, x in enumerate(out)]
+
+
+def mixed_rows(spark, rows):
+    """rows as mixed, each with its shard, in the order of their places in it."""
+    runs = []
+    for i, turn, first, n, shard, at in sorted(mixed_pieces(spark, rows)):
+        if runs and runs[-1][:2] == [i, turn] and runs[-1][3] == first and runs[-1][4] == shard:
+            runs[-1][3] += n
+        else:
+            runs.append([i, turn, first, first + n, shard, at])
+    out = []
+    for i, _, a, b, shard, _ in sorted(runs, key=lambda r: (r[4], r[5])):
+        text = rows[i]["text"]
+        spans = [m.span() for m in WORD.finditer(text)]
+        cut = text if b - a == len(spans) else text[spans[a][0] : spans[b - 1][1]]
+        out.append(rows[i] | {"text": cut, "n_chars": len(cut), "shard": shard})
+    return out
+
+
+@pytest.mark.parametrize("block, words", [(7, 60), (50, 10**6)])
+def test_mix_is_the_tree_s(spark, tmp_path, monkeypatch, block, words):
+    """Every piece, shard and place against draws taken one by one."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", block)
+    monkeypatch.setattr(mixing, "SHARD_WORDS", words)
+    rnd = random.Random(block)
+    rows = [{"doc_id": i, "text": " ".join(rnd.choice("abc") for _ in range(rnd.choice([0, 1, 5, 30, 90]))), "source": rnd.choice(["x", "x", "x", "y", None])} for i in range(60)]
+    spark.createDataFrame([tuple(r.values()) for r in rows], "doc_id long, text string, source string").repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    got = mixing.mix(docs).table().collect()
+    want = mixed_pieces(spark, rows)
+    assert Counter((r.doc_id, r.turn, r.first_word, r.n_words, r.shard) for r in got) == Counter((rows[x[0]]["doc_id"], *x[1:5]) for x in want)
+    assert (max(r.shard for r in got) > 5) == (block == 7)
+    order = [(r.shard, r.doc_id, r.first_word) for r in sorted(got, key=lambda r: (r.shard, r.position))]
+    assert order == [(x[4], rows[x[0]]["doc_id"], x[2]) for x in sorted(want, key=lambda x: (x[4], x[5]))]
+    mixing.mixed_texts(docs).write.parquet(str(tmp_path / "m"))
+    parts = spark.read.parquet(str(tmp_path / "m")).select("*", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row")).orderBy("row").collect()
+    assert [(r.shard, r.position, r.doc_id, r.text) for r in sorted(parts, key=lambda r: (r.shard, r.position))] == [(r["shard"], sum(q["shard"] == r["shard"] for q in all_[:k]), r["doc_id"], r["text"]) for all_ in [mixed_rows(spark, rows)] for k, r in enumerate(all_)]
+    for shard in {r.shard for r in parts}:  # written in one file, in order
+        mine = [r for r in parts if r.shard == shard]
+        assert len({r.file for r in mine}) == 1 and [r.position for r in mine] == list(range(len(mine)))
+
+
+def test_mix_of_many_sources_and_copies(spark, tmp_path):
+    """More sources than leaves allow shards for; one id and text for a third of the rows."""
+    rows = [(1, "the same words", "a")] * 300 + [(None, "w " * (i % 5), f"s{i % 200}") for i in range(600)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    first, second = (Counter(mixing.mix(d).taken().drop("uid").collect()) for d in (docs, docs.coalesce(1)))
+    assert first == second and sum(first.values()) == len(rows)
+    assert mixing.Plan([(str(i), 10**9) for i in range(10_000)], (5, 2, 1), 1.5, 2.0, 1).leaves.size <= 2 * mixing.MAX_LEAVES
+
+
 def test_mixed_texts_hold_what_is_taken(spark, odd, odd_rows):
+    with pytest.raises(ValueError):
+        mixing.mixed_texts(odd, shard_col="UID")
     out = mixing.mixed_texts(odd)
-    assert out.columns == odd.columns
+    assert out.columns == [*odd.columns, "shard", "position"]
     words = defaultdict(int)
     texts = {r[0]: r[1] for r in odd_rows}
     for r in out.collect():

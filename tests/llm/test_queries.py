@@ -6,13 +6,12 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 from test_dedup import component_model, fingerprint_model, norm
-from test_models import WORD
+from test_models import mixed_rows
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from quirework.llm import mixing, pieces, queries, toxicity
+from quirework.llm import pieces, queries, toxicity
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -46,41 +45,28 @@ def test_pipeline(spark, small, tmp_path):
     assert whole.count() == counts[5] and sorted(r.ids_sha256 for r in whole.collect()) == sorted(r.ids_sha256 for r in docs.collect())
 
 
-def mixed_model(rows, hashes):
-    """Rows of the mix by walking each source's words: rows are dicts, hashes give the place of an id in the stream."""
-    count = lambda r: len(WORD.findall(r["text"] or ""))
-    of = defaultdict(list)
-    for r in rows:
-        of[r["source"]].append(r)
-    names = sorted(of, key=lambda s: (s is None, s or ""))
-    sizes = [sum(map(count, of[s])) for s in names]
-    plan = mixing.Plan(list(zip(names, sizes, strict=True)), (5, 2, 1), 1.5, 2.0, mixing.SEED)
-    targets = mixing.targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))])
-    buckets = min(mixing.MAX_BUCKETS, max(1, len(rows) // mixing.BUCKET_ROWS))
-    out = []
-    for code, s in enumerate(names):
-        order = sorted(of[s], key=lambda r: (hashes[r["doc_id"]] % buckets, hashes[r["doc_id"]]))
-        stream = [(i, k) for i, r in enumerate(order) for k in range(count(r))]
-        blocks = [stream[a : a + plan.block] for a in range(0, len(stream), plan.block)]
-        left, turn = round(targets[code]), 0
-        while left and stream:
-            rank, words = mixing.permute(np.arange(len(blocks)), len(blocks), plan.key(code, turn)).tolist(), []
-            for b in range(len(blocks)) if left >= len(stream) else sorted(range(len(blocks)), key=rank.__getitem__):
-                taken = blocks[b][:left]
-                words += taken
-                left -= len(taken)
-            runs = []
-            for i, k in sorted(words):
-                if runs and runs[-1][0] == i and runs[-1][2] == k:
-                    runs[-1][2] = k + 1
-                else:
-                    runs.append([i, k, k + 1])
-            for i, a, b in runs:
-                text, spans = order[i]["text"], [m.span() for m in WORD.finditer(order[i]["text"])]
-                cut = text if b - a == len(spans) else text[spans[a][0] : spans[b - 1][1]]
-                out.append(order[i] | {"text": cut, "n_chars": len(cut)})
-            turn += 1
-    return out
+def test_pipeline_on_odd_rows(spark, odd, odd_rows, none, tmp_path):
+    """Odd rows and clashing names through every stage; labels that are empty, or of no document."""
+    for name, marks in (("empty", []), ("strange", [(10**9, 1, 1), (None, 1, 1), (1, 1, None)])):
+        folder = tmp_path / name
+        odd.write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+        docs = spark.read.parquet(str(folder / "documents.parquet")).withColumnRenamed("size", "shard").withColumnRenamed("uid", "position")
+        for i, (stage, f) in enumerate(corpus_pipeline.STAGES):
+            out = f(spark, docs, str(folder))
+            assert out.columns == docs.columns or i == 4
+            out.write.parquet(str(folder / str(i)))
+            docs = spark.read.parquet(str(folder / str(i)))
+            if stage == "toxicity":
+                assert docs.count() == len(odd_rows)
+            if stage == "exact dedup":
+                assert docs.count() == len({norm(r[1]) for r in odd_rows})
+        assert {r.doc_id for r in docs.collect()} <= {r[0] for r in odd_rows if norm(r[1])} and docs.count()
+    folder = tmp_path / "none"
+    none.write.parquet(str(folder / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(folder))
+    assert out.count() == 0 and out.columns == docs.columns
 
 
 def test_pipeline_keeps_the_right_rows(spark, small, tmp_path):
@@ -116,9 +102,7 @@ def test_pipeline_keeps_the_right_rows(spark, small, tmp_path):
     docs, got = through("near dedup", docs)
     assert multiset(got) == multiset(want)
 
-    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("long"), F.lit(mixing.SEED)).alias("h")).collect()}
-    assert len(hashes) == len(got)
-    want = mixed_model(got, hashes)
+    want = [{k: r[k] for k in columns} for r in mixed_rows(spark, got)]
     docs, got = through("mixing", docs)
     assert multiset(got) == multiset(want)
 
