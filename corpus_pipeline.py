@@ -1,4 +1,12 @@
-"""A corpus pipeline over the training-data operators; each stage's rows are written and read again by the next."""
+"""A corpus pipeline over the training-data operators; each stage's rows are written and read again by the next.
+
+Every stage but the last keeps the columns of its input, whatever they are beside doc_id, text, source and n_chars.
+Edge cases: null and empty texts are not toxic, count as one group of exact copies (of which one row stays), have no
+words that the mix could take, and so end there; rows repeated in every column are copies; null ids and sources are
+handled as the operators say; toxicity learns only from rows of `labels` with an id and a label, and where there are
+none (an empty table, or no id in common) every score is 0 and nothing is dropped; an empty `documents` gives an empty
+result with the columns of the last stage.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.llm import exact_dedup, mixing, pieces, simhash, toxicity
-from quirework.llm.common import materialise, table
+from quirework.llm.common import fresh, materialise, table
 from quirework.llm.queries import tokenizer_file
 
 
@@ -26,8 +34,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes: a row for each run of a document's words in one pass, n_chars as it is then."""
-    return mixing.mixed_texts(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    """The words that the mix takes: a row for each run of a document's words in one output shard and pass, n_chars as it
+    is then. Rows are written shard by shard, each in its local order."""
+    shard, position = fresh(docs, "shard"), fresh(docs, "position")
+    out = mixing.mixed_texts(docs, shard_col=shard, position_col=position).drop(shard, position)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
