@@ -2,7 +2,7 @@
 
 Every input partition hashes its texts, sorts its distinct 48-bit fingerprints and sends each owner (a range of
 fingerprints) one Golomb-Rice coded list. An owner decodes the lists, marks what more than one of them holds, and
-answers each sender with a bitmap over that sender's list. Only rows that a bitmap or their own partition marks are
+answers each sender with a bitmap over that sender's list. The number of owners follows from the counted rows. Only rows that a bitmap or their own partition marks are
 suspects; their normalised bytes are shuffled, pre-aggregated by SHA-256 before the shuffle, and compared.
 
 Edge cases: null texts count as empty; empty texts are equal to each other; rows repeated in every column are
@@ -28,6 +28,8 @@ from .common import BROADCAST_ROWS, WHITE, materialise, partitions, ship, small_
 
 #: Bits of a fingerprint. False suspects are possible and harmless: bytes decide.
 BITS = 48
+#: Fingerprints that an owner gets, about and at most (each row sends one or none): it holds them as numbers.
+OWNER_ROWS = 1 << 21
 _NARROW = "part int, uid long, doc_id long, fp long, text_sha256 string, n_chars long, owner int, n int, k int, unary binary, low binary"
 
 
@@ -105,7 +107,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     ship(spark)
-    owners = partitions(spark)
+    owners = max(partitions(spark), -(-docs.count() // OWNER_ROWS))  # the number of owners grows with the rows
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sent = materialise(rows.mapInArrow(_hash_partition(owners), _NARROW), "fingerprints")
     narrow = sent.filter("uid is not null").select("part", "uid", "doc_id", "fp", "text_sha256")

@@ -54,7 +54,10 @@ def test_exact_on_odd_rows(spark, odd, odd_rows, none, broadcast_rows):
     assert exact_dedup.exact_groups(none).count() == 0 and exact_dedup.drop_copies(none).count() == 0
 
 
-def test_exact_on_random_rows(spark, tmp_path):
+@pytest.mark.parametrize("most", [1 << 21, 8])
+def test_exact_on_random_rows(spark, tmp_path, monkeypatch, most):
+    """With eight rows an owner there are many more owners than partitions."""
+    monkeypatch.setattr(exact_dedup, "OWNER_ROWS", most)
     rnd = random.Random(2)
     rows = [(rnd.randrange(60), "".join(rnd.choice("ab \t") for _ in range(rnd.randrange(6)))) for _ in range(400)]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "t"))
