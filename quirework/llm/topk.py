@@ -3,7 +3,10 @@
 Vectors are turned to integers, packed in tiles and stored; every shard of candidate tiles meets every group of query
 tiles in one task, which multiplies tile by tile and keeps a top list per query and tile, then per query. The lists of a
 query's shards are merged FAN at a time until one is left. Products are exact: doubles while sums stay under 2^53,
-64-bit integers under 2^63, unbounded integers beyond (scores that do not fit a long are set to its limits).
+64-bit integers under 2^63, unbounded integers beyond (scores that do not fit a long are set to its limits; a component
+whose scaled value is beyond a double's range counts as the largest double). Tiles, shards and groups are bounded in
+bytes, so a task's memory does not grow with the number of components; tiles keep their narrow integers and are widened
+one at a time.
 
 Edge cases: rows with a null id, a null vector, or null or non-finite components take no part; vectors meet only
 vectors of as many components; rows of one id are separate rows (each a query, each a candidate of the others); equal
@@ -23,12 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import materialise, ship
 
-#: Vectors of a tile.
-TILE = 2048
+#: Vectors of a tile, and its bytes as doubles, at most (a tile holds one vector at least).
+TILE, TILE_BYTES = 2048, 1 << 25
 #: Queries that are multiplied together with a tile.
 BLOCK = 512
-#: Candidates of a shard and queries of a group, at most (beside a last tile).
-SHARD_ROWS, GROUP_ROWS = 1 << 18, 1 << 17
+#: Packed bytes of the candidates of a shard and of the queries of a group, about.
+SHARD_BYTES, GROUP_BYTES = 1 << 26, 1 << 25
 #: Top lists that are merged at a time.
 FAN = 16
 _TILE_SCHEMA = "dim int, n int, kind string, ids binary, uids binary, body binary"
@@ -36,12 +39,15 @@ _LONG = np.iinfo(np.int64)
 
 
 def _pack(scale: float, tile: int):
+    def most(dim: int) -> int:
+        return max(1, min(tile, TILE_BYTES // (8 * max(1, dim))))
+
     def tiles(dim: int, ids: np.ndarray, uids: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(ids), tile):
-            part = rows[at : at + tile]
-            top = max(1, int(np.abs(part).max(initial=0)))
-            kind = "<i2" if top < 1 << 15 else "<i4" if top < 1 << 31 else "<i8"
-            yield pa.record_batch([pa.array([dim], pa.int32()), pa.array([len(part)], pa.int32()), pa.array([kind]), pa.array([ids[at : at + tile].tobytes()], pa.binary()), pa.array([uids[at : at + tile].tobytes()], pa.binary()), pa.array([part.astype(kind).tobytes()], pa.binary())], names=["dim", "n", "kind", "ids", "uids", "body"])
+        for at in range(0, len(ids), most(dim)):
+            part = rows[at : at + most(dim)]
+            top = float(np.abs(part).max(initial=0))
+            kind = "<i2" if top < 1 << 15 else "<i4" if top < 1 << 31 else "<i8" if top < 1 << 62 else "<f8"  # whole doubles
+            yield pa.record_batch([pa.array([dim], pa.int32()), pa.array([len(part)], pa.int32()), pa.array([kind]), pa.array([ids[at : at + len(part)].tobytes()], pa.binary()), pa.array([uids[at : at + len(part)].tobytes()], pa.binary()), pa.array([part.astype(kind).tobytes()], pa.binary())], names=["dim", "n", "kind", "ids", "uids", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
@@ -56,9 +62,10 @@ def _pack(scale: float, tile: int):
                 of = np.flatnonzero(sizes == dim)
                 rows = flat[(ends[of] - dim)[:, None] + np.arange(dim)].reshape(len(of), dim)
                 fine = np.isfinite(rows).all(axis=1)
-                scaled = np.clip(np.floor(scale * rows[fine]), -(2.0**62), 2.0**62).astype(np.int64)
+                with np.errstate(over="ignore"):
+                    scaled = np.clip(np.floor(scale * rows[fine]), np.finfo(float).min, np.finfo(float).max)
                 held.setdefault(dim, []).append((ids[of][fine], uids[of][fine], scaled))
-                if sum(len(x[0]) for x in held[dim]) >= tile:
+                if sum(len(x[0]) for x in held[dim]) >= most(dim):
                     yield from tiles(dim, *(np.concatenate(x) for x in zip(*held.pop(dim), strict=True)))
         for dim, parts in held.items():
             yield from tiles(dim, *(np.concatenate(x) for x in zip(*parts, strict=True)))
@@ -83,18 +90,23 @@ def _unpack(table: pa.Table) -> dict[int, list[tuple[np.ndarray, np.ndarray, np.
     """Tiles by dimension: ids, uids and the matrix."""
     out: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
     for r in table.select(["dim", "n", "kind", "ids", "uids", "body"]).to_pylist():
-        out.setdefault(r["dim"], []).append((np.frombuffer(r["ids"], np.int64), np.frombuffer(r["uids"], np.int64), np.frombuffer(r["body"], r["kind"]).reshape(r["n"], r["dim"]).astype(np.int64)))
+        out.setdefault(r["dim"], []).append((np.frombuffer(r["ids"], np.int64), np.frombuffer(r["uids"], np.int64), np.frombuffer(r["body"], r["kind"]).reshape(r["n"], r["dim"])))
     return out
 
 
+def _whole(a: np.ndarray) -> np.ndarray:
+    """a as unbounded integers."""
+    return np.array([[int(x) for x in row] for row in a.tolist()], object).reshape(a.shape)
+
+
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact inner products of the integer rows of a and b."""
     bound = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * max(1, a.shape[1])
     if bound < 1 << 53:
         return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    if bound < 1 << 63:
-        return a @ b.T
-    return np.clip(a.astype(object) @ b.T.astype(object), _LONG.min, _LONG.max).astype(np.int64)
+    if bound < 1 << 63 and a.dtype.kind == b.dtype.kind == "i":
+        return a.astype(np.int64) @ b.T.astype(np.int64)
+    return np.clip(_whole(a) @ _whole(b).T, _LONG.min, _LONG.max).astype(np.int64)
 
 
 def select(scores: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,10 +162,10 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0,
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("uid"), F.col(vector_col).alias("vector"))
     tiles = materialise(rows.mapInArrow(_pack(scale, TILE), _TILE_SCHEMA).withColumn("tile", F.monotonically_increasing_id()), "tiles")
     asked = materialise(tiles.mapInArrow(_queries(every), _TILE_SCHEMA).withColumn("tile", F.monotonically_increasing_id()), "query-tiles")
-    size = tiles.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    queries = asked.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shards = max(1, -(-size[0] // SHARD_ROWS), min(spark.sparkContext.defaultParallelism, size[1]))
-    groups = max(1, -(-queries // GROUP_ROWS))
+    size = lambda df: df.agg(F.coalesce(F.sum(F.length("body") + F.length("ids") * 2), F.lit(0)), F.count("*")).first()
+    held, wanted = size(tiles), size(asked)
+    shards = max(1, -(-held[0] // SHARD_BYTES), min(spark.sparkContext.defaultParallelism, held[1]))
+    groups = max(1, -(-wanted[0] // GROUP_BYTES))
     spread = lambda df, name, n, other, m: df.withColumn(name, F.pmod(F.xxhash64("tile"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
     left, right = spread(tiles, "shard", shards, "group", groups), spread(asked, "group", groups, "shard", shards)
     lists = left.groupBy("shard", "group").cogroup(right.groupBy("shard", "group")).applyInArrow(_search(k), "quid long, query_id long, node long, top array<struct<down:long,vec_id:long,uid:long>>")

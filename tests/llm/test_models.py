@@ -176,6 +176,10 @@ def top_model(rows, k=5, every=50):
 @pytest.mark.parametrize("tile", [2048, 4])
 def test_top_k(spark, tmp_path, monkeypatch, tile):
     monkeypatch.setattr(topk, "TILE", tile)
+    if tile == 4:  # tiles and shards bounded by their bytes
+        monkeypatch.setattr(topk, "TILE_BYTES", 150)
+        monkeypatch.setattr(topk, "SHARD_BYTES", 400)
+        monkeypatch.setattr(topk, "GROUP_BYTES", 100)
     monkeypatch.setattr(topk, "FAN", 2)
     rnd = random.Random(8)
     rows = [(i, [rnd.choice([-0.5, 0.1, 0.3]) for _ in range(6)], "x", 1) for i in range(120)]
@@ -184,8 +188,9 @@ def test_top_k(spark, tmp_path, monkeypatch, tile):
     spark.createDataFrame(rows, VECTORS).repartition(4).write.parquet(path)
     df = spark.read.parquet(path)
     got = Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df).collect())
-    want = top_model([r for r in rows if r[0] not in (200, 201)])
-    assert {k: v for k, v in got.items() if k[0] != 200} == want
+    want = top_model(rows)
+    limit = np.iinfo(np.int64)
+    assert got == Counter({(q, r, v, max(limit.min, min(limit.max, score))): n for (q, r, v, score), n in want.items()})
     assert [k[2] for k in got if k[0] == 200] == [201]
     assert topk.top_k(df.limit(0)).count() == 0
     assert topk.top_k(df.filter("vec_id = 150")).count() == 0
@@ -196,6 +201,9 @@ def test_exact_products():
     assert topk.products(a, a).tolist() == [[np.iinfo(np.int64).max]]
     b = np.array([[1 << 30, 5]])
     assert topk.products(b, b).tolist() == [[(1 << 60) + 25]]
+    c = np.array([[1e30, -1e30, 7.0]])
+    assert topk.products(c, np.array([[1, 1, 1], [3, 2, 1]], np.int16)).tolist() == [[7, np.iinfo(np.int64).max]]
+    assert topk.products(np.full((1, 9), 30_000, np.int16), np.full((1, 9), -30_000, np.int16)).tolist() == [[-8_100_000_000]]
 
 
 def test_boosting_and_isotonic():
