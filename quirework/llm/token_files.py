@@ -1,8 +1,10 @@
-"""Token ids in wavelet files: documents are dealt by ranges of their id, and each range becomes files of bounded size.
+"""Token ids in wavelet files: documents are encoded where they are read, their ids are stored and dealt by ranges of the
+document's id, and each range becomes files of bounded size. Texts are never shuffled, and the number of ranges follows
+from the counted tokens.
 
 Words between ASCII white space are encoded once per worker by the tokenizers library and remembered up to CACHE words
-(its normaliser and pre-tokenizer never join words across white space). Files are rows of a Parquet table in the shared
-folder: partition, tokens before the file in its partition, tokens, documents, and the file itself.
+and CACHE_BYTES (its normaliser and pre-tokenizer never join words across white space). Files are rows of a Parquet table
+in the shared folder: partition, tokens before the file in its partition, tokens, documents, and the file itself.
 
 Edge cases: null and empty texts have only the end id; null ids come first; rows repeated in every column are separate
 documents, in the order of the scan; a very long text is one file of its own size; other columns are not read. An empty
@@ -23,17 +25,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions, ship, texts_of
+from .common import materialise, new_path, partitions, release, ship, small_or_not, texts_of
 from .wavelet import Shard, build
 
-#: Remembered words per worker (about 200 bytes each).
-CACHE = 1_200_000
+#: Remembered words per worker (about 200 bytes each), and their bytes together, at most.
+CACHE, CACHE_BYTES = 1_200_000, 1 << 25
 #: Punctuation that is a pre-token of its own behind a word of letters; an apostrophe may join what follows.
 MARKS = string.punctuation.replace("'", "")
 #: Words that the library gets as one line.
 LINE = 256
-#: Tokens after which a file is closed.
-FILE_TOKENS = 1 << 20
+#: Tokens after which a file is closed, and tokens of a range at most (beside its last document), about.
+FILE_TOKENS, RANGE_TOKENS = 1 << 20, 1 << 25
 FILES = "part int, before long, n_tokens long, n_docs long, file binary"
 
 
@@ -59,11 +61,11 @@ class WordEncoder:
         plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
         self.plain = Tokenizer.from_str(json.dumps(plain))
         vocab = self.library.get_vocab(with_added_tokens=True)
-        self.bits = max(1, max(vocab.values()).bit_length())
-        self.kind = np.dtype("<u2") if self.bits <= 16 else np.dtype("<u4")
+        self.kind = np.dtype("<u2") if max(vocab.values()) < 1 << 16 else np.dtype("<u4")
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.cache: dict[bytes, bytes] = {}
+        self.held = 0  # bytes of the remembered words
 
     def _letters(self, words: list[str]) -> dict[str, bytes]:
         """Words of letters only are one pre-token each, ended by one end-of-word token: encoded a line at a time."""
@@ -90,8 +92,11 @@ class WordEncoder:
         return {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False), strict=True)}
 
     def _new(self, words: list[bytes]) -> None:
-        if len(self.cache) + len(words) > CACHE:
+        more = sum(map(len, words))
+        if len(self.cache) + len(words) > CACHE or self.held + more > CACHE_BYTES:
             self.cache.clear()
+            self.held = 0
+        self.held += more
         plain, odd, ended = [], [], []
         for w in words:
             s = w.decode()
@@ -129,6 +134,13 @@ class WordEncoder:
             return b"".join(out)
 
 
+def token_bits(tokenizer: str) -> int:
+    """Bits that hold every id of a tokenizer."""
+    from tokenizers import Tokenizer
+
+    return max(1, max(Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()).bit_length())
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -138,18 +150,30 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def _write(tokenizer: str, end: int):
+def _encode(tokenizer: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        own = encoder(tokenizer)
         stop = np.array([end], own.kind).tobytes()
+        for batch in batches:
+            ids = [own.encode(x) + stop for x in texts_of(batch.column("text"))]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("uid"), pa.array(ids, pa.binary())], names=["doc_id", "uid", "ids"])
+
+    return run
+
+
+def _write(bits: int):
+    kind = np.dtype("<u2") if bits <= 16 else np.dtype("<u4")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = TaskContext.get().partitionId(), 0
         ids: list[bytes] = []
         names: list[int | None] = []
         size = 0
 
         def close() -> pa.RecordBatch:
             nonlocal before, size
-            lengths = [len(x) // own.kind.itemsize for x in ids]
-            file = build(np.frombuffer(b"".join(ids), own.kind), names, lengths, own.bits)
+            lengths = [len(x) // kind.itemsize for x in ids]
+            file = build(np.frombuffer(b"".join(ids), kind), names, lengths, bits)
             out = pa.record_batch([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([sum(lengths)], pa.int64()), pa.array([len(names)], pa.int64()), pa.array([file], pa.binary())], names=["part", "before", "n_tokens", "n_docs", "file"])
             before += sum(lengths)
             ids.clear()
@@ -158,10 +182,10 @@ def _write(tokenizer: str, end: int):
             return out
 
         for batch in batches:
-            for name, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
-                ids.append(own.encode(text) + stop)
+            for name, x in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                ids.append(x)
                 names.append(name)
-                size += len(ids[-1]) // own.kind.itemsize
+                size += len(x) // kind.itemsize
                 if size >= FILE_TOKENS:
                     yield close()
         if names:
@@ -172,10 +196,16 @@ def _write(tokenizer: str, end: int):
 
 def write(docs: DataFrame, tokenizer: str, path: str, end: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the files of docs, in ascending order of the id, as a Parquet table at path."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
+    bits = token_bits(tokenizer)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.col(text_col).alias("text"))
-    dealt = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", "uid").sortWithinPartitions("doc_id", "uid")
-    dealt.select("doc_id", "text").mapInArrow(_write(tokenizer, end), FILES).write.option("compression", "uncompressed").parquet(path)
+    encoded = materialise(rows.mapInArrow(_encode(tokenizer, end), "doc_id long, uid long, ids binary"), "token-ids")
+    tokens = encoded.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()[0] // (2 if bits <= 16 else 4)
+    ranges = max(1, -(-tokens // RANGE_TOKENS), min(partitions(spark), -(-tokens // FILE_TOKENS)))
+    dealt = encoded.repartitionByRange(ranges, "doc_id", "uid").sortWithinPartitions("doc_id", "uid")
+    dealt.select("doc_id", "ids").mapInArrow(_write(bits), FILES).write.option("compression", "uncompressed").parquet(path)
+    release(encoded)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,11 +219,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document in the files at path."""
     files = spark.read.parquet(path)
-    # one row a partition of the writer: their number is the writer's setting, whatever the input
+    # one narrow row a range of the writer, of RANGE_TOKENS tokens each
     totals = files.groupBy("part").agg(F.max(F.col("before") + F.col("n_tokens")).alias("n"))
-    offsets = totals.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("offset"))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    offsets = small_or_not(materialise(totals.select("part", (F.sum("n").over(ahead) - F.col("n")).alias("offset")), "token-offsets"))
     rows = files.select("part", "before", "file").mapInArrow(_read, "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
-    return rows.join(F.broadcast(offsets), "part").select("doc_id", (F.col("offset") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(offsets, "part").select("doc_id", (F.col("offset") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

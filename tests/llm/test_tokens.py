@@ -109,7 +109,10 @@ def test_wavelet(n):
         shard.token(n)
 
 
-def test_token_files_on_odd_rows(spark, odd, odd_rows, none, monkeypatch):
+@pytest.mark.parametrize("tokens", [1 << 25, 1000])
+def test_token_files_on_odd_rows(spark, odd, odd_rows, none, monkeypatch, tokens):
+    """With a thousand tokens a range there are more ranges than documents."""
+    monkeypatch.setattr(token_files, "RANGE_TOKENS", tokens)
     own = token_files.WordEncoder(WORDS)
     got = sorted((r.start, r.n_tokens, r.doc_id, r.ids_crc32) for r in token_files.round_trip(odd, WORDS).collect())
     ids = [(r[0], own.library.encode(r[1] or "", add_special_tokens=False).ids + [2]) for r in odd_rows]
