@@ -4,7 +4,7 @@ A text is escaped (space to U+2581, with a dummy prefix), cut where no vocabular
 is encoded by a score-ordered agenda: all adjacent symbol pairs that form a vocabulary piece wait in a heap by
 (score, leftmost first); the best is merged, its new neighbours enter, pairs whose symbols are gone are skipped.
 Symbols outside the vocabulary fall back to bytes. Every piece is encoded once per worker and remembered up to
-CACHE pieces. Checked against the sentencepiece library are all pieces new to the worker (also those behind a newline,
+CACHE pieces and CACHE_CHARS characters. Checked against the sentencepiece library are all pieces new to the worker (also those behind a newline,
 and of runs of spaces), one whole text of each run of up to BATCH texts, chosen by a hash whatever its length, and texts
 with more pieces than can be remembered; a difference stops the job. Decoding is the library's.
 
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import ship
 
 SPACE = "▁"
-#: Remembered pieces per worker.
-CACHE = 600_000
+#: Remembered pieces per worker, and their characters together, at most.
+CACHE, CACHE_CHARS = 600_000, 1 << 24
 #: Texts encoded together, and their characters at most.
 BATCH, BATCH_CHARS = 256, 1 << 20
 
@@ -147,6 +147,7 @@ class Encoder:
         #: Ids of a piece as little-endian unsigned 32-bit integers, by the piece: "x" is a space and x, "\nx" is not
         #: after a space.
         self.cache: dict[str, bytes] = {}
+        self.held = 0  # characters of the remembered pieces
         self.ends = [np.array([i], "<u4").tobytes() for i in (self.vocabulary.begin, self.vocabulary.end)]
 
     def _pieces(self, text: str) -> list[str]:
@@ -160,8 +161,11 @@ class Encoder:
         return ["\0" + x for x in self._cut.findall((" " + text).replace(" ", SPACE))]
 
     def _new(self, keys: list[str]) -> None:
-        if len(self.cache) + len(keys) > CACHE:
+        more = sum(map(len, keys))
+        if len(self.cache) + len(keys) > CACHE or self.held + more > CACHE_CHARS:
             self.cache.clear()
+            self.held = 0
+        self.held += more
         encode = self.vocabulary.encode_piece
         mark, line = encode(SPACE), encode("\n")
         texts, wholes = [], []  # what the library is given, and all ids that it should return
