@@ -6,8 +6,10 @@ on at most SAMPLE labelled rows (those with the smallest hash of their id), one
 them; out-of-fold scores of that sample fit the calibration. Every row's whole text is scored.
 
 Edge cases: null and empty texts get the score of a text without any sign; rows repeated in every column get equal
-scores; a null id counts as not held out and takes no part in learning; without labels of both kinds every score is the
-share of positives (0 without labels); other columns are not read. An empty table gives an empty result.
+scores; a null id counts as not held out and takes no part in learning; an id with several labels is toxic if one of
+them is, an id with several texts is learned from the one with the smallest hash, whatever the order of the rows;
+without labels of both kinds every score is the share of positives (0 without labels); other columns are not read. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -118,7 +120,10 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text, toxic of the bounded sample, one row of each group of near copies."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").filter(~_held_out())
     picked = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
+    several = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
+    # one text of each id, by partial aggregation, so that an id that stands very often cannot swell the sample
+    chosen = several.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
+    rows = chosen.select("doc_id", F.col("least.text").alias("text"), "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +132,7 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     marked = materialise(rows.mapInArrow(run, "doc_id long, text string, toxic int, mark long"), "toxic-sample")
     first = marked.groupBy("mark").agg(F.min("doc_id").alias("doc_id"))
-    return marked.join(F.broadcast(first), ["mark", "doc_id"]).dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
+    return marked.join(F.broadcast(first), ["mark", "doc_id"]).select("doc_id", "text", "toxic")
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
