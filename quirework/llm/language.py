@@ -7,7 +7,9 @@ remembered per worker. A text's language has the lowest cross-entropy a characte
 logistic calibration of how far the next language lies behind and of the length, and texts below REJECT are marked.
 
 Models are fit on about SAMPLE documents a language (those with the smallest hashes of their id, at a rate from the
-language's count), a tenth of which fits the calibration instead.
+language's count), a tenth of which fits the calibration instead; of the sample's words on the LEARN_WORDS most frequent
+ones of a language (words longer than LEARN_CHARS letters are left out), and of the languages on the LANGUAGES most
+frequent ones, so that the driver's memory is bounded. Prediction reads every word of every text.
 
 Edge cases: null texts and texts without a letter get `und` and score 0; without learned languages every text does;
 rows repeated in every column get equal results; a null id counts as not held out; ties go to the first language by
@@ -21,19 +23,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, ship
 
-#: About so many documents a language are learned from.
+#: About so many documents a language are learned from; distinct words a language, letters of a word, and languages, at
+#: most.
 SAMPLE = 2_000
+LEARN_WORDS, LEARN_CHARS, LANGUAGES = 400_000, 64, 1_000
 ORDER = 5
 DISCOUNT = 0.75
 #: Scores under this are marked as rejected.
 REJECT = 0.5
-#: Remembered words per worker.
-CACHE = 500_000
+#: Remembered words per worker, their scores (a number for each language and word), and their characters, at most.
+CACHE, CACHE_SCORES, CACHE_CHARS = 500_000, 1 << 23, 1 << 24
 
 _START, _END = "\x02", "\x03"
 _STEP = 0x9E3779B97F4A7C15
@@ -148,7 +152,9 @@ class Languages:
 
     def _forget(self) -> None:
         self._at: dict[str, int] = {}
+        self._chars = 0
         self._rows = np.zeros((1024, len(self.names) + 1))
+        self._most = max(1, min(CACHE, CACHE_SCORES // (len(self.names) + 1)))
 
     def __getstate__(self):
         return self.names, self.models, self.fit
@@ -169,6 +175,7 @@ class Languages:
                 rows[has, j] = m.word_scores(hashes, place, starts)
             rows[has, -1] = [len(w) + 1 for w in full]
         n = len(self._at)
+        self._chars += sum(map(len, words))
         if n + len(words) > len(self._rows):
             self._rows = np.concatenate((self._rows, np.zeros((max(len(words), len(self._rows)), self._rows.shape[1]))))
         self._rows[n : n + len(words)] = rows
@@ -184,11 +191,11 @@ class Languages:
                 try:
                     at = list(map(self._at.__getitem__, part))
                 except KeyError:
-                    if len(self._at) > CACHE:
+                    if len(self._at) > self._most or self._chars > CACHE_CHARS:
                         self._forget()
                     ahead = [w for x in lists[i : i + 64] for w in x] if len(part) < 20_000 else part
                     new = list({w for w in ahead if w not in self._at})
-                    if len(new) > CACHE:
+                    if len(new) > self._most:
                         new = list({w for w in part if w not in self._at})
                     self._new(new)
                     at = list(map(self._at.__getitem__, part))
@@ -239,12 +246,15 @@ def _place():
 def learn(rows: DataFrame) -> Languages:
     """rows: doc_id, text, lang. Models and calibration from the sample."""
     own = rows.filter("lang is not null and doc_id is not null").filter(~_held_out())
-    counts = {r.lang: r["count"] for r in own.groupBy("lang").count().collect()}  # one row a language
+    counts = {r.lang: r["count"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     names = sorted(counts)
     if not names:
         return Languages([], [], np.zeros(4))
     rate = F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, SAMPLE / counts[k]))])
-    sample = materialise(own.filter(_place() < rate[F.col("lang")]).select("lang", "text", (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(10)) == 0).alias("test")), "language-sample")
+    # one row of equal id and text, so that a row that stands very often cannot swell the sample
+    drawn = own.filter(F.coalesce(_place() < F.try_element_at(rate, F.col("lang")), F.lit(False))).withColumn("h", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    kept = drawn.dropDuplicates(["lang", "doc_id", "h"])
+    sample = materialise(kept.select("lang", "text", (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(10)) == 0).alias("test")), "language-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
@@ -252,12 +262,13 @@ def learn(rows: DataFrame) -> Languages:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 seen.setdefault(lang, Counter()).update(map(letters, (text or "").lower().split()))
         for lang, c in seen.items():
-            c.pop("", None)
+            c = Counter({w: n for w, n in c.items() if 0 < len(w) <= LEARN_CHARS})
             yield pa.record_batch([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
 
     found: dict[str, dict[str, int]] = {k: {} for k in names}
     words = sample.filter("not test").select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    for batch in words.toArrow().to_batches():  # distinct words of the bounded sample
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    for batch in words.withColumn("place", place).filter(F.col("place") <= LEARN_WORDS).drop("place").toArrow().to_batches():
         for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             found[lang][word] = n
     alphabet = len({c for w in found.values() for x in w for c in x})

@@ -262,27 +262,104 @@ def test_language(spark, odd, odd_rows, none, small):
     assert {r.lang_pred for r in language.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
-def test_kneser_ney_sums_to_one():
-    """Over all characters that may follow a seen context, and one unseen share each for the rest."""
-    counts = {"aba": 3, "abc": 2, "bca": 1}
-    model = language.Model(counts, alphabet=3)
-
-    def p(word):
-        codes, place, starts = language._flat([word])
-        hashes = list(language._hashes(codes))
-        return hashes, place, starts
-
-    total = 0.0
-    for c in "abc" + language._END + "zy"[:1]:
-        text = language._START + "ab" + c
-        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-        hashes = list(language._hashes(codes))
-        place = np.arange(len(codes))
-        keep = np.full(len(place), -1)
-        keep[-1] = place[-1]
-        total += float(np.exp(model.word_scores(hashes, keep, np.array([0]))[0]))
-    assert total == pytest.approx(1.0, abs=0.02)
-    assert p("ab")
+class KneserNey:
+    """The model of one language with dictionaries, as the docstring and the paper have it."""
+
+    def __init__(self, counts, alphabet, order=5, discount=0.75):
+        self.order, self.floor = order, 1 / (alphabet + 2)
+        raw = [Counter() for _ in range(order + 2)]
+        left = [defaultdict(set) for _ in range(order + 1)]
+        for w, c in counts.items():
+            marked = language._START + w + language._END
+            for end in range(1, len(marked)):
+                for n in range(1, order + 1):
+                    if end - n + 1 >= 0:
+                        g = marked[end - n + 1 : end + 1]
+                        raw[n][g] += c
+                        if end - n >= 0:
+                            left[n][g].add(marked[end - n])
+        self.p, self.spare = {}, {}
+        for n in range(1, order + 1):
+            count = {g: c if n == order or g[0] == language._START else max(1, len(left[n][g])) for g, c in raw[n].items()}
+            total, kinds = Counter(), Counter()
+            for g, c in count.items():
+                total[g[:-1]] += c
+                kinds[g[:-1]] += 1
+            self.spare |= {h: discount * kinds[h] / total[h] for h in total}
+            for g, c in count.items():
+                below = self.p[g[1:]] if n > 1 else self.floor
+                self.p[g] = (c - discount) / total[g[:-1]] + self.spare[g[:-1]] * below
+
+    def next(self, before, char):
+        """Probability of a character after what stands before it in the word."""
+        back = 1.0
+        for n in range(min(self.order, len(before) + 1), 0, -1):
+            g = before[len(before) - n + 1 :] + char
+            if g in self.p:
+                return back * self.p[g]
+            back *= self.spare.get(g[:-1], 1.0)
+        return back * self.floor
+
+    def word(self, w):
+        marked = language._START + w + language._END
+        return sum(np.log(self.next(marked[:i], marked[i])) for i in range(1, len(marked)))
+
+
+def test_every_gram_is_kneser_ney_s():
+    rnd = random.Random(11)
+    words = Counter("".join(rnd.choice("aaabbcdéß中") for _ in range(rnd.randint(1, 9))) for _ in range(400))
+    alphabet = len({c for w in words for c in w})
+    own, want = language.Model(dict(words), alphabet), KneserNey(words, alphabet)
+    held = {g for w in words for m in [language._START + w + language._END] for n in range(1, 6) for g in (m[i - n + 1 : i + 1] for i in range(max(1, n - 1), len(m)))}
+    assert sum(len(k) for k, _ in own.grams) == len(held) == len(want.p)
+    for n in range(1, 6):
+        keys, values = own.grams[n - 1]
+        mine = [g for g in held if len(g) == n]
+        codes = np.frombuffer("".join(mine).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        at = np.searchsorted(keys, list(language._hashes(codes))[n - 1][n - 1 :: n])
+        assert np.allclose(values[at], [np.log(want.p[g]) for g in mine], rtol=1e-9)
+    asked = list(words)[:50] + ["".join(rnd.choice("abxyzé") for _ in range(rnd.randint(1, 12))) for _ in range(200)]
+    codes, place, starts = language._flat(asked)
+    assert np.allclose(own.word_scores(list(language._hashes(codes)), place, starts), [want.word(w) for w in asked], rtol=1e-9)
+    letters = [*{c for w in words for c in w}, language._END, "☃"]
+    for before in (language._START, language._START + "a", language._START + "abba", language._START + "xyz", language._START + "aaab"):
+        assert sum(want.next(before, c) for c in letters) == pytest.approx(1.0, abs=1e-9)
+
+
+def test_language_learns_from_bounded_samples(spark, tmp_path, monkeypatch):
+    """A row that stands very often, long junk words, more languages than are learned; words beyond the cache."""
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    monkeypatch.setattr(language, "LEARN_WORDS", 30)
+    rnd = random.Random(13)
+    rows = [(i, " ".join(rnd.choice(["das", "und", "nicht", "wörter", "straße"]) for _ in range(20)), "de") for i in range(60)]
+    rows += [(100 + i, " ".join(rnd.choice(["the", "and", "words", "street", "thought"]) for _ in range(20)), "en") for i in range(60)]
+    rows += [(1000, "the and " + "q" * 200_000, "en")] * 300 + [(2000, "rare", "xx")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    got = language.identify(docs).collect()
+    assert len(got) == len(rows) and {r.lang_pred for r in got if r.doc_id < 100} == {"de"} and {r.lang_pred for r in got if r.doc_id < 1000 and r.doc_id >= 100} == {"en"}
+    assert {r.lang_pred for r in got} == {"de", "en"}
+    model = language.learn(docs)
+    texts = [r[1] for r in rows[:80]]
+    whole = model.sums(texts)
+    monkeypatch.setattr(language, "CACHE", 3)
+    monkeypatch.setattr(language, "CACHE_CHARS", 10)
+    model._forget()
+    assert np.allclose(model.sums(texts), whole)
+
+
+def test_toxicity_does_not_depend_on_the_order_of_rows(spark, tmp_path):
+    """Ids with several texts and with labels that contradict each other."""
+    rnd = random.Random(5)
+    rows = [(i % 120, " ".join(rnd.choice(["idiot", "you", "tree", "sun", f"w{rnd.randrange(50)}"]) for _ in range(rnd.randint(1, 30)))) for i in range(360)]
+    marks = [(i % 120, 1, int(rnd.random() < 0.5)) for i in range(200)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    found = []
+    for k in range(2):
+        rnd.shuffle(rows)
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(1 + 4 * k).write.parquet(str(tmp_path / str(k)))
+        found.append(Counter((r.doc_id, r.score) for r in toxicity.score(spark.read.parquet(str(tmp_path / str(k))), labels).collect()))
+    assert found[0] == found[1]
 
 
 def base_model(text):
