@@ -1,11 +1,14 @@
 """Personal data: base patterns, and a semi-Markov conditional random field that adds spans.
 
 The base patterns (email, ip, card, phone) are matched in linear time over the whole text. The field looks at zones of a
-text where something like personal data may stand (signs of an address, clusters of seven or more digits over any white
-space, or four short numbers with dots between them, however few their digits) and no base span does: a zone is cut in tokens, every run of up to LONGEST tokens is a candidate segment scored for each kind by
-features of the whole span and its surroundings, and dynamic programming over bounded segments chooses boundaries and
-kinds together. Typical finds are obfuscated addresses, phones without a plus sign, and a phone and a card side by side
-that no pattern can tell apart. Base spans stay and added spans never overlap them.
+text where something like personal data may stand (signs of an address with all parts that dots or words for dots join,
+clusters of seven or more digits over any white space, or four short numbers with dots between them, however few their
+digits) and no base span does: a zone is cut in tokens, every run of up to LONGEST tokens is a candidate segment scored
+for each kind by features of the whole span and its surroundings, and dynamic programming over bounded segments chooses
+boundaries and kinds together. Typical finds are obfuscated addresses, phones without a plus sign or in national form,
+and a phone and a card side by side that no pattern can tell apart. A place that something happens at ("meet at
+example.com") is no address; numbers within an account number (IBAN) are no phones. Base spans stay and added spans never
+overlap them.
 
 The field is trained once per driver process by maximum likelihood on zones made by a generator with a fixed seed, the
 same at every input size; it reads no input table.
@@ -31,7 +34,7 @@ from .common import ship
 
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens of a candidate segment.
-LONGEST = 24
+LONGEST = 32
 SEED = 7
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -101,7 +104,9 @@ _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|[^A-Za-z0-9\s]")
 _CLUSTER = re.compile(r"(?:\+|\()?[0-9](?:[\s().\-/\[\]+]{0,3}[0-9])+")
 _FOUR_PARTS = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\s?[\[(]?\.[\])]?\s?[0-9]{1,3}){3}(?![0-9])")
 _SIGN = re.compile(r"@|[\[({<]\s?(?:at|AT|At)\s?[\])}>]|\s(?:at|AT)\s(?=[A-Za-z0-9-]{1,40}(?:\s?[\[(]?\s?(?:dot|DOT)\b|\.[A-Za-z]))")
-_BEFORE = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?\Z")
+_PART, _DOTS = r"[A-Za-z0-9._%+-]{1,64}", r"(?:\s?[\[({<]\s?(?:dot|DOT|Dot)\s?[\])}>]\s?|\s(?:dot|DOT)\s)"
+_BEFORE = re.compile(rf"(?:{_PART}{_DOTS}){{0,4}}{_PART}\s?\Z")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\s?[0-9A-Z]{4}){2,7}(?:\s?[0-9A-Z]{1,3})?(?![A-Za-z0-9])")
 _AFTER = re.compile(r"\s?[A-Za-z0-9-]{1,64}(?:(?:\s?[\[({]\s?(?:dot|DOT)\s?[\])}]\s?|\s(?:dot|DOT)\s|\.)[A-Za-z0-9-]{1,63}){0,8}")
 
 
@@ -109,7 +114,7 @@ def zones(text: str, base: list[Span]) -> list[tuple[int, int]]:
     """Parts of the text that the field looks at: candidates' surroundings without the base spans in them."""
     found = []
     for m in _SIGN.finditer(text):
-        left = _BEFORE.search(text, max(0, m.start() - 66), m.start())
+        left = _BEFORE.search(text, max(0, m.start() - 200), m.start())
         right = _AFTER.match(text, m.end())
         if left and right:
             found.append((left.start(), right.end()))
@@ -147,21 +152,28 @@ def zones(text: str, base: list[Span]) -> list[tuple[int, int]]:
 
 _AT = re.compile(r"@|\bat\b", re.I)
 _DOT = re.compile(r"\.|\bdot\b", re.I)
-_EMAIL_LIKE = re.compile(r"[A-Za-z0-9._%+-]+\s?(?:@|[\[({<]\s?at\s?[\])}>]|\sat\s)\s?[A-Za-z0-9-]+(?:(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s)[A-Za-z0-9-]+)+\Z", re.I)
+_EMAIL_LIKE = re.compile(rf"(?:{_PART}{_DOTS}){{0,4}}" r"[A-Za-z0-9._%+-]+\s?(?:@|[\[({<]\s?at\s?[\])}>]|\sat\s)\s?[A-Za-z0-9-]+(?:(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s)[A-Za-z0-9-]+)+\Z", re.I)
 _FOUR = re.compile(r"[0-9]{1,3}(?:\s?[\[(]?\.[\])]?\s?[0-9]{1,3}){3}\Z")
 _GROUPS = re.compile("[0-9]+")
 _GOES_ON = re.compile(r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s)[A-Za-z0-9]", re.I)
+_GOES_BACK = re.compile(rf"[A-Za-z0-9](?:\.|{_DOTS})\Z", re.I)
+#: A bare "at" before a domain as it is written: a place, not an address.
+_PLACE = re.compile(r"\sat\s[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+\Z", re.I)
 _JOINED_BEFORE = re.compile(r"[0-9](?:[-/.]|\s?[\[(]\.[\])]\s?)\Z")
 _JOINED_AFTER = re.compile(r"(?:[-/.]|\s?[\[(]\.[\])]\s?)[0-9]")
 #: A dot as sentences and lists have it.
 _LIST_DOT = re.compile(r"[0-9]\.\)?\s")
 _PHONE_SHAPES = ("3-3-4", "1-3-3-4", "2-2-4-4", "2-4-4", "3-4-4", "2-3-3-4", "2-3-4-4", "2-2-2-2-2-2", "2-3-4-3", "2-1-2-2-2-2", "2-2-3-4", "2-4-6", "2-3-6")
+#: Groups of a national number behind its leading zero.
+_NATIONAL_SHAPES = ("4-7", "4-8", "4-6", "3-7", "3-8", "3-6", "2-8", "5-6", "5-5", "4-3-4", "4-3-3", "4-4-4", "3-4-4", "3-3-4", "5-3-3", "2-4-4", "4-2-2-3", "2-2-2-2-2", "3-3-2-2", "3-2-2-2")
+_CALLED = re.compile(r"\b(?:tel|phone|telephone|call|fax|mobile|mob|cell|handy|telefon|téléphone|teléfono|whatsapp|sms)\b\W{0,3}\Z", re.I)
+_COUNTED = re.compile(r"\b(?:iban|order|ref|reference|invoice|isbn|issn|account|acct|nr|id|serial|ean|art|version|konto|facture|pedido|bestellung)\b\W{0,3}\Z", re.I)
 _CARD_SHAPES = ("16", "15", "4-4-4-4", "4-6-5", "13", "4-4-4-4-3", "19")
 
 
-def span_features(text: str, start: int, end: int) -> list[float]:
-    """Features of a whole candidate segment."""
-    s = text[start:end]
+def span_features(text: str, start: int, end: int, account: bool = False) -> list[float]:
+    """Features of a whole candidate segment; account: whether it begins within an account number."""
+    s, ahead = text[start:end], text[max(0, start - 24) : start]
     groups = _GROUPS.findall(s)
     digits = "".join(groups)
     n = len(digits)
@@ -173,6 +185,7 @@ def span_features(text: str, start: int, end: int) -> list[float]:
     four = bool(_FOUR.match(s)) and all(int(g) <= 255 for g in groups)
     listed = four and bool(_LIST_DOT.search(s))
     balanced = s.count("(") == s.count(")") and s.count("[") == s.count("]")
+    national = s[:1] == "0" and s[:2] != "00" and 9 <= n <= 12 and not letters
     return [
         1.0,
         float(glued),
@@ -213,6 +226,17 @@ def span_features(text: str, start: int, end: int) -> list[float]:
         float(listed and n < 7),
         float(len(set(digits)) < 3 and n > 6),
         float(letters and bool(_GOES_ON.match(text, end, end + 16))),
+        float(letters and bool(_GOES_BACK.search(ahead))),
+        float(like and bool(_PLACE.search(s))),
+        float(account),
+        float(national),
+        float(national and len(groups) > 1),
+        float(national and shape in _NATIONAL_SHAPES),
+        float(n > 6 and bool(_CALLED.search(ahead))),
+        float(n > 6 and bool(_COUNTED.search(ahead))),
+        float(bool(re.search(r"[0-9]\s\Z", ahead))),
+        float(after.isspace() and text[end + 1 : end + 2].isdigit()),
+        float(shape in _PHONE_SHAPES and s[:1] in "0123456789" and s[:1] != "0" and " " in s),
         float(bool(_JOINED_BEFORE.search(text, max(0, start - 6), start) or _JOINED_AFTER.match(text, end, end + 6))),
     ]
 
@@ -226,6 +250,12 @@ def candidates(text: str, start: int, end: int) -> tuple[int, np.ndarray, np.nda
     bounds, rows, spans = [], [], []
     solid = [not text[a].isspace() for a, _ in tokens]
     useful = [text[a].isalnum() for a, _ in tokens]
+    accounts = [m.span() for m in _IBAN.finditer(text, max(0, start - 8), min(len(text), end + 8))]
+    within, at = [], 0
+    for a, _ in tokens:
+        while at < len(accounts) and accounts[at][1] <= a:
+            at += 1
+        within.append(at < len(accounts) and accounts[at][0] <= a)
     for i in range(len(tokens)):
         if not (useful[i] or text[tokens[i][0]] in "+("):
             continue
@@ -235,7 +265,7 @@ def candidates(text: str, start: int, end: int) -> tuple[int, np.ndarray, np.nda
             if solid[j] and useful[j] and (has >= 7 or j - i >= 4):
                 bounds.append((i, j + 1))
                 spans.append((tokens[i][0], tokens[j][1]))
-                rows.append(span_features(text, *spans[-1]))
+                rows.append(span_features(text, *spans[-1], within[i]))
     return len(tokens), np.array(bounds, np.int64).reshape(-1, 2), np.array(rows).reshape(-1, WIDTH), spans
 
 
@@ -318,8 +348,9 @@ def _example(rnd: random.Random) -> tuple[str, list[Span]]:
         return next(body + c for c in "0123456789" if luhn(body + c))
 
     def email() -> str:
-        at, dot = rnd.choice([("@", "."), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" (at) ", " (dot) "), ("(at)", "."), (" at ", " dot "), (" [at] ", "."), ("[at]", ".")])
-        return word() + rnd.choice(["", "." + word(), digits(2), "_" + word()]) + at + word() + rnd.choice(["", digits(1)]) + dot + rnd.choice(["com", "org", "net", "de", "example" + dot + "com", "co" + dot + "uk"])
+        at, dot = rnd.choice([("@", "."), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" (at) ", " (dot) "), ("(at)", "."), (" at ", " dot "), (" [at] ", "."), ("[at]", "."), ("{at}", "{dot}"), (" (at) ", " dot ")])
+        inner = dot if "dot" in dot and rnd.random() < 0.5 else "."
+        return word() + rnd.choice(["", inner + word(), inner + word() + inner + word(), digits(2), "_" + word()]) + at + word() + rnd.choice(["", digits(1)]) + dot + rnd.choice(["com", "org", "net", "de", "example" + dot + "com", "co" + dot + "uk"])
 
     def ip() -> str:
         dots, few = [rnd.choice(["[.]", "(.)", " . ", " [.] ", ".", "[.]", ". "])] * 3, rnd.random() < 0.4
@@ -343,21 +374,32 @@ def _example(rnd: random.Random) -> tuple[str, list[Span]]:
         c, gap = card(n), rnd.choice(["", "", " ", "-", "."])
         return spaced(gap.join((c[:4], c[4:8], c[8:12], c[12:])) if n == 16 else gap.join((c[:4], c[4:10], c[10:])))
 
+    def national() -> str:
+        return spaced(rnd.choice([f"01{digits(2)} {digits(7)}", f"01{digits(2)}/{digits(7)}", f"01{digits(2)}-{digits(7)}", f"0{rnd.randint(20, 99)} {digits(8)}", f"0{rnd.randint(20, 99)}/{digits(7)}", " ".join(["0" + rnd.choice("1234679"), *(digits(2) for _ in range(4))]), ".".join(["0" + rnd.choice("1234679"), *(digits(2) for _ in range(4))]), f"020 {digits(4)} {digits(4)}", f"0{rnd.randint(7000, 7999)} {digits(6)}", f"0{rnd.randint(100, 199)} {digits(3)} {digits(4)}", f"(0{rnd.randint(20, 999)}) {digits(7)}", f"0{rnd.randint(100, 999)} {digits(6)}"]))
+
     def phone() -> str:
+        if rnd.random() < 0.35:
+            return national()
         area, one, two = str(rnd.randint(200, 989)), str(rnd.randint(200, 989)), digits(4)
         return spaced(rnd.choice([f"+1 ({area}) {one}-{two}", f"+1 ({area}) {one}-{two}", f"+1 {area} {one} {two}", f"+1-{area}-{one}-{two}", f"({area}) {one}-{two}", f"{area}-{one}-{two}", f"{area}.{one}.{two}", f"+44 20 {digits(4)} {digits(4)}", f"+49 30 {digits(3)} {digits(4)}", f"+33 {digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}", f"+{rnd.randint(20, 99)} {digits(3)} {digits(6)}"]))
 
+    def iban() -> str:
+        body, gap = digits(rnd.choice([18, 18, 20, 23])), rnd.choice([" ", " ", ""])
+        whole = rnd.choice(["DE", "FR", "ES", "GB", "IT"]) + digits(2) + (body if rnd.random() < 0.8 else "ABCD" + body[4:])
+        return rnd.choice(["", "", "IBAN "]) + gap.join(whole[i : i + 4] for i in range(0, len(whole), 4))
+
     def none() -> str:
         bad = card(16)
         bad = bad[:-1] + str((int(bad[-1]) + rnd.randint(1, 9)) % 10)
         gap, dot, first = rnd.choice([" ", "-", "."]), rnd.choice(["[.]", "(.)", " [.] "]), rnd.randint(0, 20)
         return spaced(rnd.choice([
             f"{rnd.randint(1900, 2099)}-{rnd.randint(1, 12):02}-{rnd.randint(1, 28):02}", f"{rnd.randint(1, 28)}/{rnd.randint(1, 12)}/{rnd.randint(1900, 2099)}", f"{rnd.randint(1900, 2099)}{rnd.randint(1, 12):02}{rnd.randint(1, 28):02}", bad, gap.join((bad[:4], bad[4:8], bad[8:12], bad[12:])), digits(10), digits(12), digits(8), digits(7), digits(20), digits(24), f"{digits(3)}-{digits(4)}", f"{rnd.randint(1, 20)}.{rnd.randint(0, 20)}.{digits(5)}", f"{rnd.randint(256, 999)}.{rnd.randint(0, 999)}.{rnd.randint(300, 999)}.{rnd.randint(0, 255)}", f"978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", word() + digits(9), digits(8) + word(), f"{word()} at {word()} {word()}", f"{word()}@{word()}", f"at {digits(2)}", f"{digits(3)} {digits(3)} {digits(3)} {digits(3)}", f"{rnd.randint(1900, 2099)} {rnd.randint(1900, 2099)} {rnd.randint(1900, 2099)}", f"{digits(1)}.{digits(8)}", f"({rnd.randint(1900, 2099)}) {digits(4)}-{digits(4)}",
+            f"{word()} at {word()}.{rnd.choice(['com', 'org', 'net', 'de'])}", f"{word()} at {word().title()}.{rnd.choice(['de', 'fr', 'es'])}", f"{word()} {word()} at www.{word()}.com", iban(), iban(), " ".join(digits(3) for _ in range(3)), " ".join(rnd.choice("123456789") + digits(1) for _ in range(5)), " ".join(str(rnd.randint(1000, 9999)) for _ in range(rnd.randint(2, 3))), f"{rnd.randint(1, 99)} {digits(3)} {digits(3)}", f"{rnd.randint(1900, 2099)}-{rnd.randint(1, 12):02}-{rnd.randint(1, 28):02} {rnd.randint(0, 23):02}:{digits(2)}:{digits(2)}", f"978 {digits(1)} {digits(2)} {digits(6)} {digits(1)}", rnd.choice(["order ", "ref ", "invoice ", "id "]) + rnd.choice([digits(8), digits(10), f"{digits(4)} {digits(6)}", f"{digits(3)}-{digits(3)}-{digits(4)}"]),
             rnd.choice([". ", ".) "]).join(str(first + k) for k in range(4)), ". ".join(digits(1) for _ in range(4)), dot.join(str(rnd.randint(0, 99)) for _ in range(rnd.choice([3, 5, 6]))), dot.join(str(rnd.randint(256, 999)) for _ in range(4)), "\n".join(digits(rnd.randint(1, 4)) for _ in range(4)), "\t".join(digits(rnd.randint(1, 3)) for _ in range(5)),
         ]))
 
     makers = [email, ip, a_card, phone]
-    text, spans = rnd.choice(["", word() + " "]), []
+    text, spans = rnd.choice(["", word() + " ", word() + " ", rnd.choice(["Tel. ", "call ", "phone: ", "mobile ", "at ", "No. "])]), []
     for i in range(rnd.randint(1, 3)):
         if i:
             text += rnd.choice([" ", " ", " ", " " + word() + " ", ", ", "\n", "\t", "\u00a0"])
@@ -373,7 +415,7 @@ def _example(rnd: random.Random) -> tuple[str, list[Span]]:
     return text + rnd.choice(["", " " + word(), "."]), spans
 
 
-def train(examples: int = 1500, rounds: int = 8, seed: int = SEED) -> Field:
+def train(examples: int = 1600, rounds: int = 8, seed: int = SEED) -> Field:
     """Maximum likelihood by AdaGrad over made zones."""
     rnd, data = random.Random(seed), []
     for _ in range(examples):

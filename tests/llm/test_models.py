@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pii_cases
 import pytest
 from pyspark.sql import functions as F
 
@@ -430,6 +431,26 @@ def test_field_finds_in_whole_texts():
     assert right / (right + missed) > 0.97
 
 
+def marked(line):
+    """A hand-labelled line's text and spans."""
+    text, spans, at = "", [], 0
+    for m in re.finditer(r"\{(email|ip|card|phone)\|((?:[^{}]|\{[^}]*\})*)\}", line):
+        text += line[at : m.start()] + m[2]
+        spans.append((len(text) - len(m[2]), pii.KINDS.index(m[1]), len(text)))
+        at = m.end()
+    return text + line[at:], spans
+
+
+@pytest.mark.parametrize("lines", [pii_cases.CASES, pii_cases.HELD_OUT])
+def test_field_on_hand_labelled_sentences(lines):
+    right = wrong = missed = 0
+    for line in lines:
+        text, gold = marked(line)
+        got = set(base := pii.base_spans(text)) | set(pii.field().added(text, base))
+        right, wrong, missed = right + len(got & set(gold)), wrong + len(got - set(gold)), missed + len(set(gold) - got)
+    assert right > 15 and right / (right + wrong) >= 0.95 and right / (right + missed) >= 0.95
+
+
 def test_segmentation_marginals():
     """Against all segmentations of a short zone."""
     bounds = np.array([(0, 1), (0, 2), (1, 3), (2, 3)])
