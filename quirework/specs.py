@@ -1,21 +1,28 @@
-"""Field specifications: what a document's records hold. Driver-side Python, fixed before a plan is built."""
+"""Field specifications: what a document's records hold. Driver-side Python, fixed before a plan is built.
+
+Specifications come from plain dictionaries (typed by users, proposed by models, or from the preset catalogue). What is
+missing or odd in them gets a defined value; nothing raises but a list that holds no field at all (`required_fields`).
+"""
 
 from __future__ import annotations
 
+import json
 import re
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, replace
+from functools import cache
+from importlib import resources
 from typing import Any
 
-# Field types, carries, confidences.
+# Field types, carries, confidences; the word that starts a list of columns, and what parts its columns.
 FIELD_TYPES = ("text", "number", "date", "checkbox", "table", "multiline")
 CARRIES = ("first", "last")
 CONFIDENCES = ("low", "medium", "high")
+COLUMNS_WORD, COLUMNS_PARTED_BY = "列", ",，、;；\n"
 #: Source labels kept per field in cross-layout mode.
 MAX_VARIANTS = 20
-
-_COLUMNS = re.compile(r"列\s*[:：]\s*(?P<list>.+)$", re.S)
-_SEPARATORS = re.compile(r"[,，、;；\n]+")
-_KEYED = re.compile(r"(?P<key>[A-Za-z_]\w*)\s*[:：]?\s*(?P<label>.*)", re.A | re.S)
+#: Characters of keys beside ASCII letters, digits and underscore in fixed-format mode; cross-layout mode has none.
+CHINESE = "一-鿿"
 
 
 @dataclass(frozen=True)
@@ -23,6 +30,8 @@ class ColumnSpec:
     key: str
     label: str
     type: str = "text"
+    description: str = ""
+    source_variants: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -48,77 +57,193 @@ class FieldSpec:
     merge_confidence: str = ""
 
 
-def _unique(key: str, place: int, taken: set[str]) -> str:
-    name = f"{key}_{place}" if key in taken else key
-    taken.add(name)
-    return name
+# --- cleaning single values ----------------------------------------------------------------------------------------
+
+
+def _text(value: Any) -> str:
+    return "" if value is None or value is False else str(value).strip()
+
+
+def _one_of(allowed: tuple[str, ...], otherwise: str) -> Callable[[Any], str]:
+    return lambda value: value if isinstance(value, str) and value in allowed else otherwise
+
+
+def _share(value: Any) -> float:
+    try:
+        number = float(value)
+    except (TypeError, ValueError):
+        return 0.0
+    return sorted((0.0, number, 1.0))[1] if number == number else 0.0
+
+
+def _variants(value: Any) -> tuple[str, ...]:
+    return tuple(filter(None, map(_text, value)))[:MAX_VARIANTS] if isinstance(value, (list, tuple)) else ()
+
+
+#: Attributes that are cleaned alone, whatever the rest of a field says.
+_CLEAN: dict[str, Callable[[Any], Any]] = {
+    "type": _one_of(FIELD_TYPES, "text"),
+    "description": _text,
+    "group_key": bool,
+    "carry": _one_of(CARRIES, "first"),
+    "source_variants": _variants,
+    "coverage": _share,
+    "merge_confidence": _one_of(CONFIDENCES, ""),
+}
+
+
+class _Names:
+    """Hands out keys: wanted ones as they are, repeated ones with their place behind them."""
+
+    def __init__(self, extra: str, stand_in: str):
+        self._odd, self._stand_in, self._given = re.compile(f"[^A-Za-z0-9_{extra}]+"), stand_in, set()
+
+    def take(self, wanted: str, place: int) -> str:
+        return self.keep(self._odd.sub("_", wanted).strip("_") or f"{self._stand_in}{place}", place)
+
+    def keep(self, name: str, place: int) -> str:
+        if name in self._given:
+            name = f"{name}_{place}"
+        self._given.add(name)
+        return name
+
+
+def _dictionaries(raw: Iterable[Any] | None) -> Iterator[tuple[int, dict[str, Any]]]:
+    """Places from 1 and dictionaries; other things keep their place but are left out."""
+    return ((place, x) for place, x in enumerate(raw or (), 1) if isinstance(x, dict))
+
+
+# --- columns -------------------------------------------------------------------------------------------------------
+
+
+def _declarations(text: str) -> Iterator[tuple[int, str, str]]:
+    """(place, key, label) of every part of a list of columns, character by character; key or label may be empty."""
+    place, part = 1, ""
+    for c in text + "\n":
+        if c not in COLUMNS_PARTED_BY:
+            part += c
+            continue
+        if part:
+            bare = part.strip().rstrip("。.")
+            cut = 0
+            while cut < len(bare) and (bare[cut] == "_" or bare[cut].isascii() and bare[cut].isalnum()):
+                cut += 1
+            keyed = cut and not bare[0].isdigit()
+            if bare:
+                yield place, bare[:cut] if keyed else "", (bare[cut:].lstrip().removeprefix(":").removeprefix("：") if keyed else bare).strip()
+            place, part = place + 1, ""
+        # separators in a row part nothing, but one at the very start leaves an empty first place
+        elif place == 1 and c != "\n":
+            place = 2
+    return
 
 
 def parse_columns(description: str) -> tuple[ColumnSpec, ...]:
-    """Columns out of a description such as 「列：seq 序号, name 货物名称」; a part without a key is named by its place."""
-    listed = _COLUMNS.search(description or "")
-    if listed is None:
+    """Columns out of a description that ends in a list like 「列：no 序号, name 名称」. A part without a key is named by
+    its place (col2), a repeated key gets its place behind it."""
+    at = re.search(rf"{COLUMNS_WORD}\s*[:：]\s*", description or "")
+    if not at:
         return ()
-    columns: list[ColumnSpec] = []
-    taken: set[str] = set()
-    for place, part in enumerate(_SEPARATORS.split(listed["list"]), start=1):
-        part = part.strip().rstrip("。.")
-        if part:
-            named = _KEYED.fullmatch(part)
-            key, label = (named["key"], named["label"].strip() or named["key"]) if named else (f"col{place}", part)
-            columns.append(ColumnSpec(_unique(key, place, taken), label))
-    return tuple(columns)
-
-
-def _resolved(spec: FieldSpec, check: Any, tables: list[FieldSpec]) -> SumCheck | None:
-    """A check may name its table and column by key or by label; keys win. A check of no table is dropped, an unknown
-    column is kept as it is written."""
-    if not isinstance(check, dict):
-        return None
-    wanted, column = str(check.get("table", "")), str(check.get("column", "")).strip()
-    for name in ("key", "label"):
-        for t in tables:
-            if getattr(t, name) == wanted and t.type == "table":
-                for by in ("key", "label"):
-                    for c in t.columns:
-                        if getattr(c, by) == column:
-                            return SumCheck(t.key, c.key)
-                return SumCheck(t.key, column)
-    return None
-
-
-def normalize_fields(raw: list[dict[str, Any]] | None, keep: str = "一-鿿") -> list[FieldSpec]:
-    """Clean specs out of plain dictionaries. `keep`: characters of keys beside ASCII letters, digits and underscore
-    (fixed-format mode keeps Chinese characters; pass "" for cross-layout mode)."""
-    out: list[FieldSpec] = []
-    checks: list[Any] = []
-    taken: set[str] = set()
-    odd = re.compile(f"[^A-Za-z0-9_{keep}]+")
-    for place, given in enumerate(raw or [], start=1):
-        if not isinstance(given, dict):
+    names = _Names(CHINESE, "")
+    return tuple(ColumnSpec(names.keep(key or f"col{place}", place), label or key) for place, key, label in _declarations(description[at.end() :]))
+
+
+def _columns(raw: Any) -> tuple[ColumnSpec, ...]:
+    """Columns given as dictionaries."""
+    names, kind, out = _Names("", "column_"), _one_of(tuple(t for t in FIELD_TYPES if t != "table"), "text"), []
+    for place, c in _dictionaries(raw if isinstance(raw, (list, tuple)) else None):
+        key = names.take(_text(c.get("key")), place)
+        out.append(ColumnSpec(key, _text(c.get("label")) or key, kind(c.get("type")), _text(c.get("description")), _variants(c.get("source_variants"))))
+    return tuple(out)
+
+
+# --- fields --------------------------------------------------------------------------------------------------------
+
+
+def _fields(raw: Iterable[Any] | None, extra: str, columns: Callable[[dict[str, Any], str], tuple[ColumnSpec, ...]]) -> list[tuple[FieldSpec, dict[str, Any]]]:
+    names, out = _Names(extra, "field_"), []
+    for place, given in _dictionaries(raw):
+        key = names.take(_text(given.get("key")), place)
+        known = {name: clean(given.get(name)) for name, clean in _CLEAN.items()}
+        held = columns(given, known["description"]) if known["type"] == "table" else ()
+        out.append((FieldSpec(key=key, label=_text(given.get("label")) or key, columns=held, **known), given))
+    return out
+
+
+def _named(things: Iterable[Any], name: str) -> Any | None:
+    """The thing of that key, else that of that label (of several with one label the last)."""
+    things = list(things)
+    return next((t for t in things if t.key == name), None) or next((t for t in reversed(things) if t.label == name), None)
+
+
+def normalize_fields(raw: Iterable[Any] | None, keep: str = CHINESE) -> list[FieldSpec]:
+    """Specifications in fixed-format mode: columns are read from the description, a sum check may name its table and
+    column by key or label. A check of no table is dropped, an unknown column is kept as it is written."""
+    found = _fields(raw, keep, lambda _, description: parse_columns(description))
+    every, out = [spec for spec, _ in found], []
+    for spec, given in found:
+        wanted = given.get("sum_check")
+        table = _named(every, str(wanted.get("table", ""))) if isinstance(wanted, dict) else None
+        if table is not None and table.type == "table":
+            column = _text(wanted.get("column"))
+            hit = next((c for c in table.columns if c.key == column), None) or next((c for c in table.columns if c.label == column), None)
+            spec = replace(spec, sum_check=SumCheck(table.key, hit.key if hit else column))
+        out.append(spec)
+    return out
+
+
+def normalize_common_fields(raw: Iterable[Any] | None) -> list[FieldSpec]:
+    """Specifications in cross-layout mode: ASCII keys, typed columns as dictionaries (or, without them, read from the
+    description), and no grouping, carrying or checking."""
+    found = _fields(raw, "", lambda given, description: _columns(given.get("columns")) or _columns([{"key": c.key, "label": c.label} for c in parse_columns(description)]))
+    return [replace(spec, group_key=False, carry="first", sum_check=None) for spec, _ in found]
+
+
+def required_fields(form: str | None, common: bool = False) -> list[FieldSpec]:
+    """Specifications from a JSON list; a ValueError for bad JSON, another thing than a list, and an empty list."""
+    raw = json.loads(form or "[]")
+    if not isinstance(raw, list):
+        raise ValueError("fields are a list")
+    found = normalize_common_fields(raw) if common else normalize_fields(raw)
+    if not found:
+        raise ValueError("no field is given")
+    return found
+
+
+# --- presets -------------------------------------------------------------------------------------------------------
+
+
+@cache
+def presets() -> dict[str, list[FieldSpec]]:
+    """The preset catalogue by document type; the last type is the default.
+
+    A line is a document type, or behind spaces a field: key, label, type, then `group`, `last`, `sum:table.column`; the
+    columns of a table follow behind `列：`.
+    """
+    out: dict[str, list[dict[str, Any]]] = {}
+    for line in resources.files(__package__).joinpath("presets.txt").read_text("utf-8").splitlines():
+        if not line.strip() or line.startswith("#"):
+            continue
+        if not line[0].isspace():
+            fields = out.setdefault(line.strip(), [])
             continue
-        bare = odd.sub("_", str(given.get("key") or "").strip()).strip("_")
-        key = _unique(bare or f"field_{place}", place, taken)
-        kind = given["type"] if given.get("type") in FIELD_TYPES else "text"
-        text = str(given.get("description") or "").strip()
-        carry = given["carry"] if given.get("carry") in CARRIES else "first"
-        variants = tuple(dict.fromkeys(str(v).strip() for v in given.get("source_variants") or () if str(v).strip()))
-        out.append(
-            FieldSpec(
-                key=key,
-                label=str(given.get("label") or key).strip() or key,
-                type=kind,
-                description=text,
-                group_key=bool(given.get("group_key")),
-                carry=carry,
-                columns=parse_columns(text) if kind == "table" else (),
-                source_variants=variants[:MAX_VARIANTS],
-                coverage=min(1.0, max(0.0, float(given.get("coverage") or 0))),
-                merge_confidence=given.get("merge_confidence") if given.get("merge_confidence") in CONFIDENCES else "",
-            )
-        )
-        checks.append(given.get("sum_check"))
-    return [FieldSpec(**{**s.__dict__, "sum_check": _resolved(s, c, out)}) for s, c in zip(out, checks, strict=True)]
+        declared, _, columns = line.partition(f"{COLUMNS_WORD}：")
+        key, label, kind, *marks = declared.split()
+        field: dict[str, Any] = {"key": key, "label": label, "type": kind, "group_key": "group" in marks, "carry": "last" if "last" in marks else "first"}
+        if columns:
+            field["description"] = f"{COLUMNS_WORD}：{columns}"
+        for mark in marks:
+            if mark.startswith("sum:"):
+                field["sum_check"] = dict(zip(("table", "column"), mark[4:].split("."), strict=True))
+        fields.append(field)
+    return {name: normalize_fields(fields) for name, fields in out.items()}
+
+
+def default_fields() -> list[FieldSpec]:
+    return list(presets().values())[-1]
+
+
+# --- parts of a list ----------------------------------------------------------------------------------------------
 
 
 def scalars(specs: list[FieldSpec]) -> list[FieldSpec]:
@@ -131,3 +256,8 @@ def tables(specs: list[FieldSpec]) -> list[FieldSpec]:
 
 def group_field(specs: list[FieldSpec]) -> FieldSpec | None:
     return next((s for s in specs if s.group_key), None)
+
+
+def public(specs: list[FieldSpec]) -> list[dict[str, Any]]:
+    """Fields as plain dictionaries, as a program that shows or stores them takes them."""
+    return [{"key": s.key, "label": s.label, "type": s.type, "sum_check": s.sum_check is not None} for s in specs]

@@ -25,7 +25,7 @@ def ship(spark: SparkSession) -> None:
         return
     path = os.path.join(tempfile.mkdtemp(prefix="quirework-"), f"quirework-{uuid.uuid4().hex[:8]}.zip")
     with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(_PACKAGE.rglob("*.py")):
+        for f in sorted(p for p in _PACKAGE.rglob("*") if p.suffix in (".py", ".txt")):
             z.write(f, f.relative_to(_PACKAGE.parent))
     sc.addPyFile(path)  # the driver serves it; executors do not see the driver's folder
     sc._quirework_shipped = True
