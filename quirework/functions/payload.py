@@ -74,16 +74,9 @@ def _repaired(texts: Column) -> Column:
 
 
 def parse_payload(rows: DataFrame, payload: str, name: str = "parsed") -> DataFrame:
-    """rows with the payload as a variant. Only rows whose payload is no JSON object go through Python."""
-    given = F.try_parse_json(F.col(payload))
-    fine = F.coalesce(F.try_variant_get(given, "$", "map<string,variant>").isNotNull(), F.lit(False))
-    marked = rows.withColumn("__fine", fine)
-    good = marked.filter("__fine").withColumn(name, F.try_parse_json(F.col(payload)))
-    bad = marked.filter("not __fine").withColumn(name, F.try_parse_json(_repaired(F.col(payload))))
-    return good.unionByName(bad).drop("__fine")
-
-
-def confidence_of(v: Column, path: str) -> Column:
-    """low, medium or high at a path of a variant, empty for anything else."""
-    c = F.try_variant_get(v, path, "string")
-    return F.when(c.isin("low", "medium", "high"), c).otherwise("")
+    """rows with the payload as a variant, in one pass: only payloads that are no JSON object are handed to Python, the
+    others stay null there."""
+    given, mark = F.try_parse_json(F.col(payload)), f"__{name}"
+    fine = rows.withColumn(mark, F.when(F.try_variant_get(given, "$", "map<string,variant>").isNotNull(), given))
+    odd = F.when(F.col(mark).isNull(), F.col(payload))
+    return fine.withColumn(name, F.coalesce(F.col(mark), F.try_parse_json(_repaired(odd)))).drop(mark)

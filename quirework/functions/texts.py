@@ -15,7 +15,11 @@ APPENDIX = r"(?U)^(附件|附表|附录)\d*[:：]?$"
 NUMBERS_ONLY = r"(?U)^[\d./：:()（）\-—_]+$"
 SHORT_LABEL = r"(?U)(时间|日期|单位|页码|第\d+页)"
 UNKNOWN = "未知文档"
+#: What tells that a call failed on the way.
+NETWORK_SIGNS = ("connecterror", "connection", "timeout", "winerror", "server disconnected", "transport", "network")
 
+#: Lines in which a title is looked for first; only where they hold none are all lines read.
+TITLE_LINES = 12
 _LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
 #: Whether a character is printable, for the share of unreadable ones.
 _UNREADABLE = r"[\p{C}\p{Zl}\p{Zp}�]"
@@ -42,36 +46,38 @@ def compress_layout(text: Column) -> Column:
     return F.when(F.length(t) > TEXT_LIMIT, F.concat(F.substring(t, 1, half), F.lit(MIDDLE_MARK), F.right(t, F.lit(half)))).otherwise(t)
 
 
-def _lines(text: Column) -> Column:
-    """Lines with runs of white space as one space."""
-    return F.transform(F.split(F.coalesce(text, F.lit("")), _LINE_END), lambda x: F.regexp_replace(x, r"(?U)\s+", " "))
-
-
-def title_candidate(text: Column) -> Column:
-    """The first line that may be a title, without white space and bars, at most 80 characters; empty if there is none."""
-    compact = F.transform(_lines(text), lambda x: F.regexp_replace(x, r"(?U)[\s|]+", ""))
+def _title(lines: Column) -> Column:
+    """The first of the lines that may be a title, without white space and bars; null if there is none."""
+    compact = F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)[\s|]+", ""))
     fits = F.filter(compact, lambda x: (F.length(x) >= 3) & ~x.rlike(APPENDIX) & ~x.rlike(NUMBERS_ONLY) & ~((F.length(x) <= 16) & x.rlike(SHORT_LABEL)))
-    return F.substring(F.coalesce(F.try_element_at(fits, F.lit(1)), F.lit("")), 1, 80)
+    return F.try_element_at(fits, F.lit(1))
 
 
-def title_label(text: Column) -> Column:
-    title = F.substring(title_candidate(text), 1, 48)
-    return F.when(title == "", UNKNOWN).otherwise(title)
+def title_candidate(text: Column) -> Column:
+    """The first line that may be a title, without white space and bars, at most 80 characters; empty if there is none.
+    The first lines are tried alone, as a title mostly stands there."""
+    t = F.coalesce(text, F.lit(""))
+    early = _title(F.slice(F.split(t, _LINE_END, TITLE_LINES + 1), 1, TITLE_LINES))
+    return F.substring(F.coalesce(early, _title(F.split(t, _LINE_END)), F.lit("")), 1, 80)
 
 
 def layout_of_text(text: Column) -> Column:
-    """Rough shape of a text: five binned counts as a JSON list; empty for an empty text."""
+    """Rough shape of a text: five binned counts (characters; lines, long ones, ones of two digits or more; runs of
+    spaces, which are gone by then) as a JSON list; empty for an empty text. One pass over the lines."""
     t = strip(F.coalesce(text, F.lit("")))
-    raw = F.filter(F.transform(F.split(t, _LINE_END), lambda x: strip(F.regexp_replace(x, r"(?U)\s+", " "))), lambda x: x != "")
-    counts = (
-        F.length(t),
-        F.size(raw),
-        F.size(F.filter(raw, lambda x: F.length(x) >= 45)),
-        F.size(F.filter(raw, lambda x: F.regexp_count(x, F.lit(r"(?U)\d")) >= 2)),
-        F.lit(0),  # runs of spaces are gone by then
-    )
-    bins = [F.least(F.bround(c / F.lit(d)).cast("int"), F.lit(most)).cast("string") for c, (d, most) in zip(counts, LAYOUT_BINS, strict=True)]
-    return F.when(F.size(raw) == 0, "").otherwise(F.concat(F.lit("["), F.concat_ws(", ", *bins), F.lit("]")))
+
+    def add(sums: Column, line: Column) -> Column:
+        length = F.length(strip(F.regexp_replace(line, r"(?U)\s{2,}", " ")))
+        full = (length > 0).cast("int")
+        digits = F.when(length > 0, (F.regexp_count(line, F.lit(r"(?U)\d")) >= 2).cast("int")).otherwise(0)
+        return F.struct((sums["lines"] + full).alias("lines"), (sums["long"] + (length >= 45).cast("int")).alias("long"), (sums["digits"] + digits).alias("digits"))
+
+    def shape(sums: Column) -> Column:
+        counts = (F.length(t), sums["lines"], sums["long"], sums["digits"], F.lit(0))
+        bins = [F.least(F.bround(c / F.lit(d)).cast("int"), F.lit(most)).cast("string") for c, (d, most) in zip(counts, LAYOUT_BINS, strict=True)]
+        return F.when(sums["lines"] == 0, "").otherwise(F.concat(F.lit("["), F.concat_ws(", ", *bins), F.lit("]")))
+
+    return F.aggregate(F.split(t, _LINE_END), F.struct(*[F.lit(0).alias(c) for c in ("lines", "long", "digits")]), add, shape)
 
 
 def layout_signature(text: Column, layout: Column | None = None) -> Column:
@@ -84,10 +90,24 @@ def layout_signature(text: Column, layout: Column | None = None) -> Column:
     return F.when(layout.isNotNull(), known).otherwise(layout_of_text(text))
 
 
-def format_signature(text: Column, layout: Column | None = None, prefix: str = "layout:") -> Column:
+def format_signature(key: Column, layout: Column, prefix: str = "layout:") -> Column:
     """Title and layout where the title has a key of four characters or more, else the layout."""
-    key, shape = canonical(title_candidate(text)), layout_signature(text, layout)
-    return F.when(F.length(key) >= 4, F.concat(F.lit("title:"), key, F.lit("|layout:"), shape)).otherwise(F.concat(F.lit(prefix), shape))
+    return F.when(F.length(key) >= 4, F.concat(F.lit("title:"), key, F.lit("|layout:"), layout)).otherwise(F.concat(F.lit(prefix), layout))
+
+
+def slug(c: Column) -> Column:
+    """A name for files: letters, digits, Chinese characters and ._- only, at most 80 characters."""
+    bare = F.btrim(F.regexp_replace(F.coalesce(F.when(c != "", c), F.lit(UNKNOWN)), r"[^0-9A-Za-z一-鿿._-]+", "_"), F.lit(" ._"))
+    return F.substring(F.when(bare == "", UNKNOWN).otherwise(bare), 1, 80)
+
+
+def is_network_failure(detail: Column) -> Column:
+    """Whether an error's text tells that a call failed on the way."""
+    low = F.lower(F.coalesce(detail, F.lit("")))
+    found = F.lit(False)
+    for sign in NETWORK_SIGNS:
+        found = found | low.contains(sign)
+    return found
 
 
 def fingerprint(text: Column, kind: Column) -> Column:

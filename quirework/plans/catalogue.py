@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import payload, texts, values
@@ -12,21 +10,9 @@ from ..operators import discover, evidence, extract, flatten, fold, grouping, mi
 from ..sources.tables import document_pages, event_pages, order_lines, table, turn_pages
 from ..specs import normalize_fields
 from ..storage import materialise
+from .registry import QUERIES, SQL, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
+__all__ = ["QUERIES", "SQL", "flagship"]
 
 EVENTS = "SELECT user_id AS f, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p, event_id, event_type, value, props FROM events"
 # the chain: x has f, p, gid (null for none) and cont
@@ -99,57 +85,61 @@ def fold_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source").agg(values.min_conf(F.col("confidence")).alias("confidence"), F.count("*").alias("n_pages")).join(kinds, "source", "left")
 
 
-DECLARED_SQL = """t AS (SELECT l_orderkey AS k, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS total, count(*) AS n FROM lineitem GROUP BY 1),
+# amounts of five decimals: an order declares the rounded sum, the sum of rounded amounts, or something else
+DECLARED_SQL = """t AS (SELECT l_orderkey AS k, round(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * 0.335), 2) AS total, sum(round(CAST(l_extendedprice AS DECIMAL(18,2)) * 0.335, 2)) AS rounded, count(*) AS n FROM lineitem GROUP BY 1),
 o AS (SELECT o_orderkey, o_custkey, coalesce(n, 0) AS n_rows, coalesce(total, 0) AS total,
-             CASE WHEN o_orderkey % 2 = 0 THEN coalesce(total, 0) ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS declared
-      FROM orders LEFT JOIN t ON k = o_orderkey)"""
+             CASE o_orderkey % 4 WHEN 0 THEN coalesce(total, 0) WHEN 1 THEN rounded ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS declared
+      FROM orders LEFT JOIN t ON k = o_orderkey),
+v AS (SELECT *, declared - total AS diff, n_rows > 0 AND coalesce(abs(declared - total) < 0.011, false) AS match FROM o)"""
 
 
-def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with their lines' amounts as a table field; even orders declare the sum of their lines."""
-    rows = order_lines(spark, sf_dir).groupBy(F.col("filename").alias("o_orderkey")).agg(fold.ordered(F.struct(F.col("l_partkey"), F.col("l_quantity"), F.col("amount")), F.col("page")).alias("lines"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice"))
-    return orders.join(rows, "o_orderkey", "left")
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exact = F.col("l_extendedprice").cast("decimal(18,2)") * F.lit("0.335").cast("decimal(4,3)")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), exact.alias("amount"))
 
 
-ORDER_SPECS = [
-    {"key": "declared", "label": "Total", "type": "number", "carry": "last", "sum_check": {"table": "Lines", "column": "amount"}},
-    {"key": "lines", "label": "Lines", "type": "table", "description": "列：l_partkey part, l_quantity quantity, amount amount"},
-]
+def _declared(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+    """Orders, checked against their lines' amounts."""
+    own = lines.groupBy("o_orderkey").agg(F.round(F.sum("amount"), 2).alias("exact"), F.sum(F.round("amount", 2)).alias("rounded"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice").join(own, "o_orderkey", "left")
+    kind = F.col("o_orderkey") % 4
+    declared = F.when(kind == 0, F.coalesce("exact", F.lit(0))).when(kind == 1, F.col("rounded")).otherwise(values.to_money(F.col("o_totalprice")))
+    return validate.check_lines(orders.select("o_orderkey", "o_custkey", declared.cast("decimal(30,2)").alias("declared")), lines, ["o_orderkey"], "declared", "amount")
 
 
-@query(
-    f"""WITH {DECLARED_SQL}
-SELECT o_orderkey, n_rows, CAST(total AS DOUBLE) AS sum_from_table, CAST(declared AS DOUBLE) AS declared, CAST(declared - total AS DOUBLE) AS diff,
-       n_rows > 0 AND abs(declared - total) < 0.011 AS match FROM o"""
-)
+@query(f"WITH {DECLARED_SQL} SELECT o_orderkey, n_rows, CAST(total AS DOUBLE) AS sum_from_table, CAST(declared AS DOUBLE) AS declared, CAST(diff AS DOUBLE) AS diff, match FROM v")
 def sum_check_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _orders(spark, sf_dir)
-    total, _ = validate.sum_of_rows(F.col("lines"), "amount")
-    records = orders.withColumn("declared", F.when(F.col("o_orderkey") % 2 == 0, total).otherwise(values.to_money(F.col("o_totalprice"))))
-    records = records.withColumn("n_rows", F.coalesce(F.size("lines"), F.lit(0)).cast("long")).withColumn("n_rows", F.greatest("n_rows", F.lit(0).cast("long")))
-    found = validate.sum_checks(records, normalize_fields(ORDER_SPECS), ["o_orderkey", "n_rows"])
+    found = _declared(spark, sf_dir, _lines(spark, sf_dir))
     return found.select("o_orderkey", "n_rows", *[F.col(c).cast("double").alias(c) for c in ("sum_from_table", "declared", "diff")], "match")
 
 
 @query(
     f"""WITH {DECLARED_SQL},
-v AS (SELECT o_custkey, o_orderkey, n_rows > 0 AND abs(declared - total) < 0.011 AS match, declared, total FROM o),
 r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM v WHERE NOT match)
-SELECT v.o_custkey, v.o_orderkey, r.n IS NOT NULL AS repaired, CAST(CASE WHEN r.n IS NOT NULL THEN total ELSE declared END AS DOUBLE) AS declared
+SELECT v.o_custkey, v.o_orderkey, r.n IS NOT NULL AS repaired, CAST(CASE WHEN r.n IS NOT NULL THEN total + v.o_orderkey % 3 ELSE declared END AS DOUBLE) AS declared
 FROM v LEFT JOIN r ON r.o_custkey = v.o_custkey AND r.o_orderkey = v.o_orderkey AND r.n <= 6"""
 )
 def repair_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A customer's orders are a job; the first failing ones get their lines' sum as declared total."""
-    orders = _orders(spark, sf_dir)
-    total, _ = validate.sum_of_rows(F.col("lines"), "amount")
-    records = orders.withColumn("total", total).withColumn("declared", F.when(F.col("o_orderkey") % 2 == 0, F.col("total")).otherwise(values.to_money(F.col("o_totalprice"))).cast("decimal(28,2)"))
-    records = materialise(records.select("o_custkey", "o_orderkey", "lines", "total", "declared"), "orders")
-    checked = validate.sum_checks(records, normalize_fields(ORDER_SPECS), ["o_custkey", "o_orderkey"])
-    failing = validate.to_repair(checked, ["o_custkey"], ["o_orderkey"])
+    """A customer's orders are a job; the first failing ones are repaired one to three times, and the last repair counts."""
+    records = materialise(_declared(spark, sf_dir, _lines(spark, sf_dir)), "orders")
+    failing = validate.to_repair(records, ["o_custkey"], ["o_orderkey"])
+    again = records.join(failing, ["o_custkey", "o_orderkey"], "left_semi").select("o_custkey", "o_orderkey", "sum_from_table", F.explode(F.sequence(F.lit(0).cast("long"), F.col("o_orderkey") % 3)).alias("attempt"))
+    fixed = again.select("o_custkey", "o_orderkey", (F.col("sum_from_table") + F.col("attempt")).cast("decimal(30,2)").alias("declared"), "attempt")
     pages = records.select("o_custkey", "o_orderkey", "declared")
-    fixed = records.join(failing, ["o_custkey", "o_orderkey"], "left_semi").select("o_custkey", "o_orderkey", F.col("total").alias("declared"))
-    return validate.splice(pages, fixed, ["o_custkey", "o_orderkey"]).withColumn("declared", F.col("declared").cast("double"))
+    return validate.splice(pages, fixed, ["o_custkey", "o_orderkey"], "attempt").withColumn("declared", F.col("declared").cast("double"))
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their lines as a table field."""
+    rows = order_lines(spark, sf_dir).groupBy(F.col("filename").alias("o_orderkey")).agg(fold.ordered(F.struct(F.col("l_partkey"), F.col("l_quantity"), F.col("amount")), F.col("page")).alias("lines"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    return orders.join(rows, "o_orderkey", "left")
+
+
+ORDER_SPECS = [
+    {"key": "declared", "label": "Total", "type": "number", "carry": "last", "sum_check": {"table": "Lines", "column": "amount"}},
+    {"key": "lines", "label": "Lines", "type": "table", "description": "列：l_partkey part, l_quantity quantity, amount amount"},
+]
 
 
 @query(
@@ -265,7 +255,7 @@ FROM s3 JOIN n ON n.b = lang AND n.sig = layout"""
 )
 def format_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = document_pages(spark, sf_dir).withColumnRenamed("lang", "document_type").withColumn("layout", texts.layout_signature(F.col("text"))).drop("text")
-    found = split.format_variants(pages, F.col("layout"))
+    found = split.format_variants(pages, F.col("layout"))  # stores the layouts, and reads them twice
     return found.select(F.col("page").alias("doc_id"), "variant", "split_type")
 
 
@@ -295,14 +285,16 @@ def type_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 BAD_SQL = r"regexp_replace(coalesce(text, ''), '[\s\p{Z}]+', '', 'g')"
 
 
-@query(
-    rf"""WITH b AS (SELECT doc_id, length({STRIP_SQL.format(t="text")}) AS n, {BAD_SQL} AS body, coalesce(text, '') AS t FROM documents),
-k AS (SELECT doc_id, n, CASE WHEN n = 0 THEN 'scanned' WHEN len(regexp_extract_all(t, '\(cid:')) > 3 OR (CASE WHEN length(body) = 0 THEN 1.0 ELSE len(regexp_extract_all(body, '[\p{{C}}\x{{fffd}}]')) / length(body) END) > 0.2 THEN 'scanned'
-     WHEN n < 30 THEN 'scanned' ELSE 'native' END AS kind FROM b)
-SELECT doc_id, kind FROM k"""
-)
+KINDS_SQL = rf"""b AS (SELECT doc_id, source, length({STRIP_SQL.format(t="text")}) AS n, {BAD_SQL} AS body, coalesce(text, '') AS t FROM documents),
+r AS (SELECT doc_id, source, n, len(regexp_extract_all(t, '\(cid:')) > 3 OR (CASE WHEN length(body) = 0 THEN 1.0 ELSE len(regexp_extract_all(body, '[\p{{C}}\x{{fffd}}]')) / length(body) END) > 0.2 AS odd FROM b),
+k AS (SELECT *, CASE WHEN n = 0 OR odd OR n < 30 OR (doc_id % 3 = 0 AND n < 200) THEN 'scanned' ELSE 'native' END AS shared, CASE WHEN n = 0 OR odd OR n < 30 THEN 'scanned' ELSE 'native' END AS kind FROM r)"""
+
+
+@query(f"WITH {KINDS_SQL} SELECT doc_id, shared AS kind FROM k")
 def page_kind_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.classify(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "kind")
+    """Every third page is mostly image."""
+    share = F.when(F.col("doc_id") % 3 == 0, 0.9).otherwise(0.1)
+    return evidence.classify(table(spark, sf_dir, "documents").select("doc_id", "text", share.alias("share")), image_share="share").select("doc_id", "kind")
 
 
 @query(
@@ -319,19 +311,37 @@ def canonical_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", values.canonical(F.concat(F.coalesce("p_name", F.lit("")), F.lit(" "), F.coalesce("p_brand", F.lit("")))).alias("key"))
 
 
-@query("SELECT o_orderkey, o_totalprice AS plain, o_totalprice AS signs, o_totalprice AS wide, CAST(NULL AS DOUBLE) AS none FROM orders")
+@query(
+    """WITH x AS (SELECT o_orderkey AS k, CAST(o_totalprice AS DECIMAL(18,2)) AS p, o_orderkey % 8 AS m FROM orders)
+SELECT k AS o_orderkey, CASE WHEN m IN (0, 1, 2) THEN p::DOUBLE WHEN m = 3 THEN -p::DOUBLE WHEN m = 4 THEN k / 4.0 END AS number,
+       CASE WHEN m = 5 THEN p || 'x' WHEN m = 6 THEN 'nan' WHEN m = 7 AND k % 16 = 7 THEN '1_000' END AS raw FROM x"""
+)
 def number_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    price = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
-    wide = F.translate(price, "0123456789.", "０１２３４５６７８９．")
-    grouped = F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2)
-    return table(spark, sf_dir, "orders").select("o_orderkey", values.to_num(price).alias("plain"), values.to_num(F.concat(F.lit("￥ "), grouped, F.lit(" 元"))).alias("signs"), values.to_num(wide).alias("wide"), values.to_num(F.concat(price, F.lit("x"))).alias("none"))
+    """Amounts as they may stand on a page: signs, full-width digits, and what is no number."""
+    p, k = F.col("o_totalprice").cast("decimal(18,2)"), F.col("o_orderkey")
+    plain, m = p.cast("string"), k % 8
+    shown = (
+        F.when(m == 0, plain).when(m == 1, F.concat(F.lit("￥ "), F.format_number(p, 2), F.lit("\u3000元"))).when(m == 2, F.translate(plain, "0123456789.", "０１２３４５６７８９．"))
+        .when(m == 3, F.concat(F.lit(" －"), F.format_number(p, 2))).when(m == 4, F.concat((k * 25).cast("string"), F.lit("e-2"))).when(m == 5, F.concat(plain, F.lit("x"))).when(m == 6, "nan").when(k % 16 == 7, "1_000").otherwise("null")
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", values.coerce(shown, "number").alias("number"), values.unread(shown, "number").alias("raw"))
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS dashes, strftime(o_orderdate, '%Y-%m-%d') AS chinese, 'order ' || o_orderkey AS kept FROM orders")
+@query(
+    """WITH x AS (SELECT o_orderkey AS k, o_orderdate AS d, o_orderkey % 6 AS m FROM orders)
+SELECT k AS o_orderkey, CASE WHEN m <= 3 THEN strftime(d, '%Y-%m-%d') WHEN m = 4 THEN strftime(d, '%Y') || '-13-45' ELSE 'order ' || k END AS day FROM x"""
+)
 def date_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = F.col("o_orderdate")
-    chinese = F.concat(F.lit("填发 "), F.date_format(d, "yyyy"), F.lit("年"), F.date_format(d, "M"), F.lit(" 月"), F.date_format(d, "d"), F.lit("日"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", values.norm_date(F.date_format(d, "yyyy/M/d")).alias("dashes"), values.norm_date(chinese).alias("chinese"), values.norm_date(F.concat(F.lit(" order "), F.col("o_orderkey").cast("string"))).alias("kept"))
+    """Dates in several shapes: the first of two counts, an impossible one is kept, and a text without one too."""
+    d, k = F.col("o_orderdate"), F.col("o_orderkey")
+    part = lambda f: F.date_format(d, f)
+    m = k % 6
+    shown = (
+        F.when(m == 0, part("yyyy/M/d")).when(m == 1, F.concat(F.lit("填发 "), part("yyyy"), F.lit("年"), part("M"), F.lit(" 月"), part("d"), F.lit("日")))
+        .when(m == 2, F.translate(part("yyyy.MM.dd"), "0123456789.", "０１２３４５６７８９．")).when(m == 3, F.concat(part("yyyy-MM-dd"), F.lit(" to 2099-01-01"))).when(m == 4, F.concat(part("yyyy"), F.lit("-13-45")))
+        .otherwise(F.concat(F.lit("\t order "), k.cast("string"), F.lit(" ")))
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", values.norm_date(shown).alias("day"))
 
 
 @query("SELECT o_orderkey, o_orderstatus = 'F' AS ticked, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus = 'O' END AS open FROM orders")
@@ -340,19 +350,23 @@ def checkbox_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", values.checkbox(F.when(s == "F", " 是 ").otherwise("no")).alias("ticked"), values.checkbox(F.when(s == "O", "YES").when(s == "P", "null").otherwise("x")).alias("open"))
 
 
+#: Share of pieces from which passages of the benchmark count as alike.
+SIMILAR = 0.05
 GRAMS_SQL = r"regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '\p{Nd}+', '0', 'g'), '[\s\p{Z}]+', ' ', 'g')[1:12000], '[\s\p{Z}]+', '', 'g')"
 
 
 @query(
     f"""WITH c AS (SELECT item_id, {GRAMS_SQL} AS c FROM benchmark),
 l AS (SELECT item_id, list_distinct(list_transform(generate_series(0, greatest(1, length(c) - 3) - 1, 3), lambda i: c[i + 1:i + 4])) AS g FROM c),
-g AS (SELECT item_id, list_append(CASE WHEN len(g) > 1200 THEN list_sort(g)[1:1200] ELSE g END, 'kind:native') AS g FROM l)
-SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.g, b.g)) AS shared, len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) AS similarity
-FROM g a JOIN g b ON a.item_id < b.item_id WHERE len(list_intersect(a.g, b.g)) > 0"""
+k AS (SELECT item_id, list_append(CASE WHEN len(g) > 1200 THEN list_sort(g)[1:1200] ELSE g END, 'kind:native') AS g FROM l),
+g AS (SELECT min(item_id) AS item_id, list_sort(g) AS g FROM k GROUP BY list_sort(g)),
+p AS (SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.g, b.g)) AS shared, len(a.g) + len(b.g) AS n FROM g a JOIN g b ON a.item_id < b.item_id)
+SELECT a, b, shared, shared / (n - shared) AS similarity FROM p WHERE shared / (n - shared) >= {SIMILAR}"""
 )
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of the benchmark that are alike; equal ones are one class."""
     grams = table(spark, sf_dir, "benchmark").select("item_id", texts.fingerprint(F.col("text"), F.lit("native")).alias("grams"))
-    return sample.similar_pairs(grams, "item_id")
+    return sample.similar_pairs(grams, "item_id", least=SIMILAR)
 
 
 @query()
@@ -362,14 +376,20 @@ def diverse_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.representative(pages)
 
 
-@query("SELECT o_orderkey, 'N-' || o_orderkey AS number, strftime(o_orderdate, '%Y-%m-%d') AS day, o_totalprice AS total, o_orderstatus = 'F' AS closed, 2 AS n_rows, o_custkey::VARCHAR AS first_cell FROM orders")
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN 'N-' || o_orderkey END AS number, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS total,
+       o_orderstatus = 'F' AS closed, CAST(1 + o_orderkey % 3 + (o_orderkey % 5 <> 0)::INTEGER AS INTEGER) AS n_rows, (o_custkey + o_orderkey % 3)::VARCHAR AS last_cell FROM orders"""
+)
 def rule_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page texts made from orders, read back by the default extractor."""
+    """Page texts made from orders, read back by the default extractor: labels may be missing, numbers unreadable, and
+    there are one to three rows, after one space or more, a line with two values that looks like one, and lines that do not."""
     o = table(spark, sf_dir, "orders")
-    money = F.col("o_totalprice").cast("decimal(18,2)")
+    money, k = F.col("o_totalprice").cast("decimal(18,2)"), F.col("o_orderkey")
+    line = lambda i: F.when(F.lit(i) <= k % 3, F.concat(F.lit("\n"), (F.col("o_custkey") + i).cast("string"), F.when((k + i) % 2 == 0, "   part one   10.5").otherwise(" part   20"))).otherwise("")
     body = F.concat(
-        F.lit("Order No： N-"), F.col("o_orderkey").cast("string"), F.lit("\nDate "), F.date_format("o_orderdate", "yyyy年M月d日"), F.lit("\nTotal(¥): ￥ "), F.format_number(money, 2),
-        F.lit("\nClosed: "), F.when(F.col("o_orderstatus") == "F", "是").otherwise("否"), F.lit("\nseq   name   amount\n"), F.col("o_custkey").cast("string"), F.lit("   part one   10.5\n2 part   20\n合计   30.5   x"),
+        F.when(k % 5 != 0, F.concat(F.lit("Order No： N-"), k.cast("string"), F.lit("   Order No: other"))).otherwise("Order number missing"), F.lit("\nDate "), F.date_format("o_orderdate", "yyyy年M月d日"), F.lit(" and 2099-01-01"),
+        F.lit("\nTotal(¥): "), F.when(k % 7 != 0, F.concat(F.lit("￥ "), F.format_number(money, 2))).otherwise("unknown"), F.lit("\nClosed: "), F.when(F.col("o_orderstatus") == "F", "是").otherwise("否"),
+        F.lit("\nseq   name   amount"), line(0), line(1), line(2), F.lit("\n合计   30.5   x\nno digits   here   at all"),
     )
     specs = normalize_fields(
         [
@@ -378,21 +398,29 @@ def rule_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
         ]
     )
     found = extract.rule_extract(o.select("o_orderkey", body.alias("text")), specs)
-    return found.select("o_orderkey", "number", "day", "total", "closed", F.size("rows").alias("n_rows"), F.try_element_at("rows", F.lit(1))["seq"].alias("first_cell"))
+    return found.select("o_orderkey", "number", "day", "total", "closed", F.size("rows").alias("n_rows"), F.try_element_at("rows", F.lit(-1))["seq"].alias("last_cell"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(NULL AS BIGINT) AS bad, 2 AS n_rows, 1 AS n_items FROM events")
+@query(
+    """WITH x AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(event_id % 4 AS INTEGER) AS m FROM events)
+SELECT event_id, CASE WHEN m <> 3 THEN k END AS k, CASE m WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 0 END AS n_rows FROM x"""
+)
 def json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = lambda c: F.try_variant_get(F.try_parse_json(c), "$.k", "bigint")
-    many = F.concat(F.lit('{"rows": ['), F.col("props"), F.lit(","), F.col("props"), F.lit("]}"))
-    nested = F.concat(F.lit('{"rows": {"items": ['), F.col("props"), F.lit("]}}"))
-    return table(spark, sf_dir, "events").select("event_id", v(F.col("props")).alias("k"), v(F.substring("props", 1, 4)).alias("bad"), F.size(extract.json_rows(many, "rows")).alias("n_rows"), F.size(extract.json_rows(nested, "rows")).alias("n_items"))
+    """Answers with a list, with a list as items, with something else, and broken ones."""
+    p, m = F.col("props"), F.col("event_id") % 4
+    rows = F.when(m == 0, F.concat(F.lit("["), p, F.lit(","), p, F.lit("]"))).when(m == 1, F.concat(F.lit('{"items": ['), p, F.lit("]}"))).otherwise('"none"')
+    whole = F.concat(F.lit('{"head": '), p, F.lit(', "rows": '), rows, F.when(m == 3, "").otherwise("}"))
+    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json(whole), "$.head.k", "bigint").alias("k"), F.size(extract.json_rows(whole, "rows")).alias("n_rows"))
 
 
-@query("SELECT source, count(*) AS total, count(*) FILTER (WHERE n_chars >= 400) AS native, count(*) FILTER (WHERE n_chars > 0 AND n_chars < 400) AS scanned, count(*) FILTER (WHERE n_chars = 0) AS blank FROM documents GROUP BY source")
+@query(
+    f"""WITH {KINDS_SQL}, x AS (SELECT source, CASE WHEN n = 0 AND doc_id % 2 = 0 THEN 'blank' ELSE kind END AS kind FROM k)
+SELECT source, count(*) AS total, count(*) FILTER (WHERE kind = 'native') AS native, count(*) FILTER (WHERE kind = 'scanned') AS scanned, count(*) FILTER (WHERE kind = 'blank') AS blank FROM x GROUP BY source"""
+)
 def kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.col("n_chars") == 0, "blank").when(F.col("n_chars") < 400, "scanned").otherwise("native")
-    return evidence.kind_counts(table(spark, sf_dir, "documents").select("source", kind.alias("kind")), ["source"])
+    """Pages by kind; of those without text every other one has next to no ink."""
+    pages = table(spark, sf_dir, "documents").select("source", "text", F.when(F.col("doc_id") % 2 == 0, 0.0001).otherwise(0.5).alias("ink"))
+    return evidence.kind_counts(evidence.classify(pages, ink="ink"), ["source"])
 
 
 @query("SELECT role, count(*) AS pages, count(DISTINCT (conv_id, turn - turn % 2)) AS documents FROM conversations GROUP BY role")
@@ -402,24 +430,26 @@ def doc_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH b AS (SELECT page_id, regexp_replace(regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '([^/]*)$', 1), '[\x00-\x1f]', '_', 'g')[1:120] AS n FROM pages),
-m AS (SELECT page_id, CASE WHEN coalesce(n, '') = '' THEN 'file.pdf' ELSE n END AS name FROM b),
+    r"""WITH b AS (SELECT page_id, trim(regexp_replace(regexp_extract(CASE page_id % 5 WHEN 0 THEN 'x/a\b' || chr(127) || '.pdf' WHEN 1 THEN 'y/ report ' WHEN 2 THEN '' ELSE split_part(split_part(url, '?', 1), '#', 1) END, '([^/]*)$', 1), '[\\\x00-\x1f\x7f]', '_', 'g')) AS n FROM pages),
+m AS (SELECT page_id, (CASE WHEN coalesce(n, '') = '' THEN 'file.pdf' ELSE n END)[1:120] AS name FROM b),
 r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY page_id) - 1 AS k FROM m)
 SELECT page_id, CASE WHEN k = 0 THEN name ELSE regexp_extract(name, '^(.*?)(\.[^.]*)?$', 1) || '(' || k || ')' || regexp_extract(name, '^(.*?)(\.[^.]*)?$', 2) END AS unique_name FROM r"""
 )
 def safe_unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.regexp_extract("url", r"^([^?#]*)", 1)
+    """Last parts of addresses, and three names that a third of all pages share."""
+    m = F.col("page_id") % 5
+    path = F.when(m == 0, "x/a\\b\x7f.pdf").when(m == 1, "y/ report ").when(m == 2, "").otherwise(F.regexp_extract("url", r"^([^?#]*)", 1))
     named = table(spark, sf_dir, "pages").select("page_id", evidence.safe_name(path).alias("name"))
     return evidence.unique_names(named, "name", "page_id").select("page_id", "unique_name")
 
 
 @query(
-    f"""WITH {DECLARED_SQL}, x AS (SELECT o_custkey, o_orderkey, n_rows > 0 AND abs(declared - total) < 0.011 AS match FROM o)
+    f"""WITH {DECLARED_SQL}
 SELECT o_custkey, count(*) AS total, count(*) FILTER (WHERE match) AS passed,
-       CASE WHEN count(*) FILTER (WHERE match) < count(*) THEN 'failed' ELSE 'ok' END AS status FROM x GROUP BY o_custkey"""
+       CASE WHEN count(*) FILTER (WHERE match) < count(*) THEN 'failed' ELSE 'ok' END AS status FROM v GROUP BY o_custkey"""
 )
 def validation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = sum_check_orders(spark, sf_dir).join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    checked = _declared(spark, sf_dir, _lines(spark, sf_dir))
     totals = checked.groupBy("o_custkey").agg(F.count("*").alias("total"), F.count_if("match").alias("passed"))
     return totals.withColumn("status", flatten.row_status(F.lit(False), F.col("passed") < F.col("total"), F.lit(False)))
 
@@ -435,43 +465,56 @@ def document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.document_ids(heads, ["filename", "first_page"]).select(F.col("filename").alias("user_id"), "first_page", "document_id")
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS fenced, CAST(json_extract(props, '$.k') AS BIGINT) AS cut, 2 AS n_items FROM events")
+@query(
+    """WITH x AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(event_id % 5 AS INTEGER) AS m FROM events)
+SELECT event_id, CASE WHEN m < 3 THEN k END AS k, CASE m WHEN 2 THEN nullif(CAST(event_id % 4 AS INTEGER), 0) WHEN 3 THEN 2 END AS n FROM x"""
+)
 def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers with fences and thoughts, cut off, and lists instead of objects."""
-    p = F.col("props")
-    rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("<think>{no}</think>```json\n"), p, F.lit("\n```")).alias("a"), F.concat(F.regexp_replace(p, r"\}\s*$", ""), F.lit(', "rows": [1, 2')).alias("b"), F.concat(F.lit("found: ["), p, F.lit(","), p, F.lit(",]")).alias("c"))
-    parsed = payload.parse_payload(payload.parse_payload(payload.parse_payload(rows, "a", "pa"), "b", "pb"), "c", "pc")
-    k = lambda c: F.try_variant_get(F.col(c), "$.k", "bigint")
-    return parsed.select("event_id", k("pa").alias("fenced"), k("pb").alias("cut"), F.size(F.try_variant_get(F.col("pc"), "$.items", "array<variant>")).alias("n_items"))
+    """Answers: as they should be, with thoughts and fences, cut off behind one of four rows, a list, and no JSON."""
+    p, m, e = F.col("props"), F.col("event_id") % 5, F.col("event_id")
+    rows = F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), e % 4 + 1), lambda i: F.concat(F.lit('{"i": '), i.cast("string"), F.lit("}"))), ", ")
+    cut = F.concat(F.regexp_replace(p, r"\}\s*$", ""), F.lit(', "rows": ['), F.expr("substring(r, 1, length(r) - 2)"))
+    answer = F.when(m == 0, p).when(m == 1, F.concat(F.lit("<think>{no}</think>```json\n"), p, F.lit("\n```"))).when(m == 2, cut).when(m == 3, F.concat(F.lit("found: ["), p, F.lit(","), p, F.lit(",]"))).otherwise("no answer at all")
+    found = payload.parse_payload(table(spark, sf_dir, "events").withColumn("r", rows).select("event_id", answer.alias("a")), "a")
+    size = lambda path: F.size(F.try_variant_get("parsed", path, "array<variant>"))
+    n = F.when(m == 2, size("$.rows")).when(m == 3, size("$.items"))
+    return found.select("event_id", F.try_variant_get("parsed", "$.k", "bigint").alias("k"), n.alias("n"))
 
 
 @query(
-    """WITH l AS (SELECT lower(o_orderstatus) AS type_key, o_orderkey, unnest(['No', 'Date', 'Total']) AS label FROM orders),
-c AS (SELECT type_key, label, count(*) AS pages FROM l GROUP BY 1, 2)
-SELECT type_key, CAST(row_number() OVER (PARTITION BY type_key ORDER BY pages DESC, lower(label)) AS INTEGER) AS place, label, pages, CAST(1 AS DOUBLE) AS coverage,
-       CASE WHEN label = 'Total' THEN pages ELSE 0 END AS numbers, CASE WHEN label = 'Date' THEN pages ELSE 0 END AS dates FROM c"""
+    """WITH l AS (SELECT lower(o_orderstatus) AS type_key, o_orderkey AS k, unnest(['No', 'Date', 'Total', 'Note']) AS label FROM orders),
+m AS (SELECT * FROM l WHERE (label <> 'Date' OR k % 3 <> 0) AND (label <> 'Note' OR k % 4 = 0)),
+t AS (SELECT lower(o_orderstatus) AS type_key, count(*) AS n FROM orders GROUP BY 1),
+c AS (SELECT type_key, label, count(*) AS pages, count(*) FILTER (WHERE label = 'Total' AND k % 10 <> 0 OR label = 'Note') AS numbers, count(*) FILTER (WHERE label = 'Date' AND k % 2 = 0) AS dates FROM m GROUP BY 1, 2)
+SELECT c.type_key, CAST(row_number() OVER (PARTITION BY c.type_key ORDER BY pages DESC, lower(label)) AS INTEGER) AS place, label, pages, pages / n AS coverage, numbers, dates FROM c JOIN t ON t.type_key = c.type_key"""
 )
 def schema_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of page texts made from orders, per status as type."""
-    body = F.concat(F.lit("No: N-"), F.col("o_orderkey").cast("string"), F.lit("\nDate："), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("\n total text\nTotal: "), F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
+    """Labels of page texts made from orders, per status as type: some pages lack a label, some values are of another type."""
+    k = F.col("o_orderkey")
+    body = F.concat(
+        F.lit("No: N-"), k.cast("string"), F.when(k % 3 != 0, F.concat(F.lit("\nDate："), F.when(k % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("soon"))).otherwise(""), F.lit("\n total text\nTotal: "),
+        F.when(k % 10 != 0, F.col("o_totalprice").cast("decimal(18,2)").cast("string")).otherwise("none"), F.when(k % 4 == 0, "\nNote: 7").otherwise(""),
+    )
     pages = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", body.alias("text"))
     return discover.inventories(pages, "o_orderstatus", ["o_orderkey"])
 
 
 @query(
-    f"""WITH a AS ({EVENTS}), x AS (SELECT f, p, event_type, value, p - (p - 1) % 3 AS d FROM a),
-h AS (SELECT f, d, min(p) AS first, arg_min(event_type, p) AS s FROM x GROUP BY f, d),
+    f"""WITH a AS ({EVENTS}), x AS (SELECT f, p, event_type AS ty, value, event_type = 'error' AS bad, CASE WHEN event_type = 'error' THEN -p ELSE p - (p - 1) % 3 END AS d FROM a),
+h AS (SELECT f, d, bad, min(p) AS first, coalesce(arg_min(ty, p) FILTER (WHERE ty <> 'signup'), '未知') AS s, string_agg(p::VARCHAR, '+' ORDER BY p) AS pages, arg_min(value, p) AS value FROM x GROUP BY f, d, bad),
 n AS (SELECT *, row_number() OVER (ORDER BY f, first) AS k FROM h)
-SELECT 'mix_doc_' || CASE WHEN k < 10000 THEN lpad(k::VARCHAR, 4, '0') ELSE k::VARCHAR END AS document_id, s AS schema_type, string_agg(x.p::VARCHAR, '+' ORDER BY x.p) AS pages, arg_min(value, x.p) AS value
-FROM x JOIN n ON n.f = x.f AND n.d = x.d WHERE s IN ('purchase', 'view') GROUP BY k, s"""
+SELECT 'mix_doc_' || CASE WHEN k < 10000 THEN lpad(k::VARCHAR, 4, '0') ELSE k::VARCHAR END AS document_id, s AS schema_type, pages, CASE WHEN s IN ('purchase', 'view') THEN value END AS value, CASE WHEN bad THEN 'boom' END AS error FROM n"""
 )
 def mixed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three events of a user are a document; purchases and views have schemas, the others have none."""
-    pages = materialise(event_pages(spark, sf_dir).withColumn("anchor", F.col("page") - (F.col("page") - 1) % 3), "event-pages")
+    """Three events of a user are a document; purchases and views have schemas, the others have none, errors stand alone,
+    and sign-ups do not tell their type."""
+    events = event_pages(spark, sf_dir)
+    kind = F.when(F.col("event_type") != "signup", F.col("event_type"))
+    pages = events.select("filename", "page", kind.alias("document_type"), "value", (F.col("page") - (F.col("page") - 1) % 3).alias("anchor"), F.when(F.col("event_type") == "error", "boom").alias("error"))
     specs = normalize_fields([{"key": "value", "type": "number"}])
-    found = mixed.assemble(pages, {"purchase": specs, "view": specs}, "event_type")
-    parts = [df.select("document_id", F.lit(name).alias("schema_type"), "pages", "value") for name, df in found.items()]
-    return parts[0].unionByName(parts[1])
+    found = mixed.assemble(pages, {"purchase": specs, "view": specs})
+    parts = [df.select("document_id", "schema_type", "pages", "value", "error") for df in found.by_type.values()]
+    return parts[0].unionByName(parts[1]).unionByName(found.others.select("document_id", "schema_type", "pages", F.lit(None).cast("double").alias("value"), "error"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -482,3 +525,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     chained = grouping.chain(pages, None, F.col("continues"))
     specs = normalize_fields(ORDER_SPECS)
     return validate.sum_checks(fold.fold(chained, specs, ["filename", "group_no"]), specs, ["filename", "pages"])
+
+
+from . import records  # noqa: E402,F401  (more queries, which use the SQL above)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import flatten, fold, grouping, validate
+from ..operators import flatten, fold, grouping, outputs, validate
 from ..operators.extract import Extractor, rule_extract
 from ..specs import FieldSpec, group_field, tables
 from ..storage import materialise
@@ -22,6 +22,9 @@ class Result:
     def details(self, specs: list[FieldSpec]) -> DataFrame:
         return flatten.details(self.records, ["filename", "group_no"], [s.key for s in tables(specs)])
 
+    def sheets(self, specs: list[FieldSpec]) -> dict[str, DataFrame]:
+        return outputs.fixed_sheets(self.records, specs, self.validations, ("filename", "group_no"))
+
 
 def assemble(pages: DataFrame, specs: list[FieldSpec]) -> Result:
     """Records and validations of extracted pages (filename, page, continues, the fields; optionally error)."""
@@ -37,14 +40,17 @@ def assemble(pages: DataFrame, specs: list[FieldSpec]) -> Result:
 
 
 def run(pages: DataFrame, specs: list[FieldSpec], extract: Extractor = rule_extract, repair: Extractor | None = None, most: int = validate.REPAIR_MAX) -> Result:
-    """The whole plan on page rows (filename, page, kind, text, continues). Extracted pages are written before they are
-    read again: an extractor may be slow and need not give the same answer twice. With `repair`, the pages of the first
-    failing records of each file are extracted anew, spliced in, and everything is folded again, once."""
-    done = materialise(extract(pages.filter(F.col("kind") != "blank"), specs), "extracted")
+    """The whole plan on page rows (filename, page, kind, text, continues); pages of unknown kind are taken as not blank.
+    Extracted pages are written before they are read again: an extractor may be slow and need not give the same answer
+    twice. With `repair`, the pages of the first failing records of each file are extracted anew, with a note of what was
+    wrong, spliced in (of several new rows of a page the last), and everything is folded again, once."""
+    done = materialise(extract(pages.filter(F.coalesce(F.col("kind") != "blank", F.lit(True))), specs), "extracted")
     first = assemble(done, specs)
     if repair is None or first.validations is None:
         return first
-    failing = validate.to_repair(first.validations, ["filename"], ["group_no"], most)
-    again = first.pages.join(failing, ["filename", "group_no"], "left_semi").select(*pages.columns)
-    fixed = materialise(repair(again, specs).select(*done.columns), "repaired")
-    return assemble(materialise(validate.splice(done, fixed, ["filename", "page"]), "spliced"), specs)
+    checked = materialise(first.validations, "validations")
+    failing = validate.to_repair(checked, ["filename"], ["group_no"], most)
+    notes = validate.repair_notes(checked, ["filename", "group_no"])
+    again = first.pages.join(failing.join(notes, ["filename", "group_no"]), ["filename", "group_no"]).select(*pages.columns, "note")
+    fixed = materialise(repair(again, specs).select(*done.columns).withColumn("__order", F.monotonically_increasing_id()), "repaired")
+    return assemble(materialise(validate.splice(done, fixed, ["filename", "page"], "__order"), "spliced"), specs)

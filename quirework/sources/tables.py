@@ -30,8 +30,8 @@ def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("source").alias("filename"), F.col("doc_id").alias("page"), "lang", "text")
 
 
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_lines(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """Lines as pages: the order is the file; place in it by all of a line's columns, as line numbers repeat."""
     lines = table(spark, sf_dir, "lineitem")
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"))
-    return lines.select(F.col("l_orderkey").alias("filename"), place.alias("page"), "l_partkey", "l_quantity", to_money(F.col("l_extendedprice")).alias("amount"), "l_extendedprice")
+    return lines.select(F.col("l_orderkey").alias("filename"), place.alias("page"), "l_partkey", "l_quantity", to_money(F.col("l_extendedprice")).alias("amount"), "l_extendedprice", *more)

@@ -3,8 +3,7 @@ import json
 import pytest
 
 from quirework.functions.payload import parse_payload, repair_json
-from quirework.operators import discover, mixed
-from quirework.specs import normalize_fields
+from quirework.operators import discover
 
 
 @pytest.mark.parametrize(
@@ -35,17 +34,8 @@ def test_parse_payload(spark):
 
 
 def test_discovered_schemas(spark):
-    rows = [("合同", 1, "编号：A-1\n日期: 2026年1月2日\n金额: 1,000.00"), ("合同", 2, "编号: A-2\n金额：￥20"), ("x", 3, None)]
+    rows = [("Log", 1, "Ship：Aurora\nDay: 2031年1月2日\nTons: 1,000.00"), ("log", 2, "Ship: Bell\nTons：￥20"), ("x", 3, None)]
     df = spark.createDataFrame(rows, "kind string, page int, text string")
     found = discover.schemas(discover.inventories(df, "kind", ["page"]))
-    assert {s.label: (s.type, s.coverage) for s in found["合同"]} == {"编号": ("text", 1.0), "金额": ("number", 1.0), "日期": ("date", 0.5)}
+    assert {s.label: (s.type, s.coverage) for s in found["log"]} == {"Ship": ("text", 1.0), "Tons": ("number", 1.0), "Day": ("date", 0.5)}
     assert "x" not in found
-
-
-def test_mixed_records(spark):
-    specs = {"合同": normalize_fields([{"key": "no"}]), "发票": normalize_fields([{"key": "total", "type": "number"}])}
-    rows = [("f", 1, "合同", 1, "C-1", None), ("f", 2, "发票", 2, None, None), ("f", 3, "发票", 2, None, 200.0), ("g", 1, "其他", None, "z", 1.0)]
-    df = spark.createDataFrame(rows, "filename string, page int, document_type string, anchor int, no string, total double")
-    got = mixed.assemble(df, specs)
-    assert [(r.document_id, r.pages, r.no) for r in got["合同"].collect()] == [("mix_doc_0001", "1", "C-1")]
-    assert [(r.document_id, r.pages, r.total) for r in got["发票"].collect()] == [("mix_doc_0002", "2+3", 200.0)]
