@@ -297,7 +297,8 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kinds = docs.select("*", F.lit(0).cast("long").alias(at)).schema
     for name in (shard_col, place):
         kinds = kinds.add(name, "long")
-    # the repartitioning and the sort serve the window and stay where a caller drops the position
-    dealt = joined.select(*docs.columns, at, pieces).mapInArrow(run, kinds).repartition(shard_col).sortWithinPartitions(shard_col, place, at)
+    # about a shard a partition, however many there are; the repartitioning and the sort serve the window and stay where a
+    # caller drops the position
+    dealt = joined.select(*docs.columns, at, pieces).mapInArrow(run, kinds).repartition(own.plan.shards, shard_col).sortWithinPartitions(shard_col, place, at)
     local = Window.partitionBy(shard_col).orderBy(place, at)
     return dealt.withColumn(position_col, F.row_number().over(local) - 1).drop(at, place)
