@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 # How far a box may be from its line, gaps that are three or two spaces, and the width of a character, all
 # as shares of the median height; characters of a page.
 SAME_LINE, WIDE, MIDDLE, CHAR_WIDTH, LIMIT = 0.6, 2.0, 0.8, 0.9, 6_000
+#: Neighbouring pages that are folded in one go.
+TOGETHER = 64
 
 
 def page_text(boxes: list[tuple[float, float, float, str]], limit: int = LIMIT) -> str:
@@ -45,13 +47,17 @@ def page_text(boxes: list[tuple[float, float, float, str]], limit: int = LIMIT)
 
 
 def page_texts(boxes: DataFrame, by: tuple[str, ...] = ("filename", "page"), limit: int = LIMIT) -> DataFrame:
-    """by and text of every page, from boxes with left, top, bottom and text."""
+    """by and text of every page, from boxes with left, top, bottom and text. The last of by is a number; TOGETHER
+    neighbouring pages are folded in one go, as a group of its own for each would cost more than it holds."""
     ok = boxes.filter((F.coalesce("text", F.lit("")) != "") & F.col("left").isNotNull() & F.col("top").isNotNull() & F.col("bottom").isNotNull())
     narrow = ok.select(*by, *[F.col(c).cast("double").alias(c) for c in ("left", "top", "bottom")], "text")
 
-    def fold(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
-        text = page_text(list(page[["left", "top", "bottom", "text"]].itertuples(index=False, name=None)), limit)
-        return pd.DataFrame([(*key, text)], columns=[*by, "text"])
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for key, page in part.groupby(list(by), dropna=False):
+            out.append((*key, page_text(list(page[["left", "top", "bottom", "text"]].itertuples(index=False, name=None)), limit)))
+        return pd.DataFrame(out, columns=[*by, "text"])
 
     kinds = dict(narrow.dtypes)
-    return narrow.groupBy(*by).applyInPandas(fold, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "text string"]))
+    several = narrow.groupBy(*by[:-1], F.floor(F.col(by[-1]) / TOGETHER))
+    return several.applyInPandas(fold, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "text string"]))

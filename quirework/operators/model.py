@@ -40,6 +40,8 @@ RETRIES, LONGEST_WAIT, FIRST_WAIT, JITTER = 4, 8.0, 0.6, 0.4
 FINAL_STATUS = (400, 401, 403, 404, 413, 422)
 CUT_OFF, HARD_TOKENS = "max_tokens", 32_768
 BATCH_PAGES, PAGE_CHARS, EVIDENCE_CHARS, HINT_CHARS, SUMMARY_CHARS, ERROR_CHARS = 6, 2_200, 8_000, 800, 240, 220
+#: Batches that are merged in one go of a task.
+TOGETHER = 64
 ROLES = ("first", "continuation", "single", "unknown")
 REMINDER = "\n\nThe last answer was no JSON. Answer again, with one JSON object and nothing else."
 NETWORK_FALLBACK, MODEL_FALLBACK, UNCLASSIFIED = "AI网关连接失败，改按版式兜底：", "AI分拣失败，待按版式兜底：", "AI分拣失败，暂按单页保存"
@@ -287,22 +289,26 @@ def observed_pages(pages: DataFrame, inventory: str = "inventory") -> DataFrame:
 def consolidated(inventories: DataFrame, merge: Callable[[list[dict]], dict], by: str = "type_key", order: str = "place", inventory: str = "inventory", batch: int = 4, fan: int = 64) -> DataFrame:
     """by, schema (JSON) and sampled (inventories) of every type: batches of inventories (JSON texts) in their order are
     merged to partial schemas, and these `fan` at a time until one is left. A single partial schema is not merged again,
-    and no task holds more than `fan` of them."""
+    and no task holds more than TOGETHER times `fan` of them."""
     ship(inventories.sparkSession)
     place = F.row_number().over(Window.partitionBy(by).orderBy(order, inventory)) - 1
     kind = dict(inventories.dtypes)[by]
 
     def merged(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        texts_ = part.sort_values("at")["schema"].tolist()
-        whole = part["raw"].iloc[0] or len(texts_) > 1
-        schema = json.dumps(merge([json.loads(t) for t in texts_]), ensure_ascii=False, sort_keys=True) if whole else texts_[0]
-        return pd.DataFrame([(*key, schema, int(part["n"].sum()), False)], columns=[by, "at", "schema", "n", "raw"])
+        out = []
+        for to, own in part.sort_values(["to", "at"]).groupby("to"):
+            schemas = own["schema"].tolist()
+            whole = bool(own["raw"].iloc[0]) or len(schemas) > 1
+            schema = json.dumps(merge([json.loads(t) for t in schemas]), ensure_ascii=False, sort_keys=True) if whole else schemas[0]
+            out.append((key[0], int(to), schema, int(own["n"].sum()), False))
+        return pd.DataFrame(out, columns=[by, "at", "schema", "n", "raw"])
 
     rows = inventories.select(by, place.cast("long").alias("at"), F.col(inventory).alias("schema"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("raw"))
     most = rows.groupBy(by).count().agg(F.max("count")).first()[0] or 0
     step = batch
     while True:
-        grouped = rows.withColumn("to", F.floor(F.col("at") / step)).groupBy(by, "to")
+        # a task takes some neighbouring batches, as a group of its own for each would cost more than it holds
+        grouped = rows.withColumn("to", F.floor(F.col("at") / step)).withColumn("some", F.floor(F.col("to") / TOGETHER)).groupBy(by, "some")
         rows = grouped.applyInPandas(merged, f"`{by}` {kind}, at long, schema string, n long, raw boolean")
         most, step = -(-most // step), fan
         if most <= 1:
