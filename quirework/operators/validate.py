@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, NumericType
 
 from ..functions.values import AMOUNT, to_amount, to_money
 from ..specs import FieldSpec
@@ -21,8 +22,14 @@ TOLERANCE, REPAIR_MAX = 0.011, 6
 _MONEY = "decimal(30,2)"
 
 
-def sums_of_rows(rows: Column, column: str) -> Column:
-    """Struct of a table field's rows: total (two decimals), unread (rows without a number), n."""
+def _amount(c: Column, kind: DataType | None) -> Column:
+    """An exact amount: columns of numbers are cast, all others are read as text."""
+    return c.try_cast(AMOUNT) if isinstance(kind, NumericType) else to_amount(c)
+
+
+def sums_of_rows(rows: Column, column: str, kind: DataType | None = None) -> Column:
+    """Struct of a table field's rows: total (two decimals), unread (rows without a number), n. kind: the column's type,
+    text if it is not known."""
     zero = F.lit(0).cast(AMOUNT)
 
     def add(sums: Column, amount: Column) -> Column:
@@ -31,7 +38,7 @@ def sums_of_rows(rows: Column, column: str) -> Column:
     def end(sums: Column) -> Column:
         return F.struct(F.round(sums["total"], 2).cast(_MONEY).alias("total"), sums["unread"].alias("unread"), sums["n"].alias("n"))
 
-    amounts = F.transform(rows, lambda r: to_amount(r[column]))
+    amounts = F.transform(rows, lambda r: _amount(r[column], kind))
     start = F.struct(zero.alias("total"), F.lit(0).cast("long").alias("unread"), F.lit(0).cast("long").alias("n"))
     return F.aggregate(F.coalesce(amounts, F.array().cast(f"array<{AMOUNT}>")), start, add, end)
 
@@ -51,7 +58,8 @@ def sum_checks(records: DataFrame, specs: list[FieldSpec], keep: list[str]) -> D
     if not checked:
         raise ValueError("no field has a sum check")
     # every sum is a column of its own before it is read four times
-    summed = records.withColumns({f"__sum_{i}": sums_of_rows(F.col(s.sum_check.table), s.sum_check.column) for i, s in enumerate(checked)})
+    kinds = [{f.name: f.dataType for f in getattr(records.schema[s.sum_check.table].dataType.elementType, "fields", [])} for s in checked]
+    summed = records.withColumns({f"__sum_{i}": sums_of_rows(F.col(s.sum_check.table), s.sum_check.column, kinds[i].get(s.sum_check.column)) for i, s in enumerate(checked)})
     checks = []
     for i, s in enumerate(checked):
         sums, declared = F.col(f"__sum_{i}"), to_money(F.col(s.key))
@@ -65,10 +73,11 @@ def check_lines(records: DataFrame, lines: DataFrame, key: list[str], declared:
     """records with sum_from_table, n_rows, diff and match of their lines, which are a table of their own with the same
     key. Lines are aggregated before they meet the records, so a record of any number of lines costs one row; lines of
     no record are left out, a null key meets nothing."""
-    number = to_amount(F.col(amount))
+    number = _amount(F.col(amount), lines.schema[amount].dataType)
     sums = lines.groupBy(*key).agg(F.round(F.sum(number), 2).cast(_MONEY).alias("__total"), F.count_if(number.isNull()).alias("__unread"), F.count("*").alias("__n"))
     joined = records.join(sums, key, "left").withColumn("sum_from_table", F.coalesce("__total", F.lit(0).cast(_MONEY))).withColumn("n_rows", F.coalesce("__n", F.lit(0).cast("long")))
-    found = verdict(to_money(F.col(declared)), F.col("sum_from_table"), F.coalesce("__unread", F.lit(0)), F.col("n_rows"))
+    said = _amount(F.col(declared), records.schema[declared].dataType).try_cast(_MONEY)
+    found = verdict(said, F.col("sum_from_table"), F.coalesce("__unread", F.lit(0)), F.col("n_rows"))
     return joined.withColumns(found).drop("__total", "__unread", "__n")
 
 
