@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golomb
-from .common import BROADCAST_ROWS, WHITE, materialise, partitions, ship, small_or_not, texts_of, without_rows
+from .common import BROADCAST_ROWS, WHITE, kept, materialise, partitions, ship, small_or_not, texts_of, without_rows
 
 #: Bits of a fingerprint. False suspects are possible and harmless: bytes decide.
 BITS = 48
@@ -38,6 +38,7 @@ def _hash_partition(owners: int):
     width = -(-(1 << BITS) // owners)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("exact_dedup")
         schema = pa.schema([("part", pa.int32()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("text_sha256", pa.string()), ("n_chars", pa.int64()), ("owner", pa.int32()), ("n", pa.int32()), ("k", pa.int32()), ("unary", pa.binary()), ("low", pa.binary())])
         seen, part = [], 0
         for batch in batches:
@@ -93,6 +94,7 @@ def _suspects(owners: int):
 
 
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept("exact_dedup")
     for batch in batches:
         norm = [x.translate(None, WHITE) for x in texts_of(batch.column("text"))]
         sha = [hashlib.sha256(x).hexdigest() for x in norm]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, ship
+from .common import kept, materialise, ship
 
 #: About so many documents a language are learned from; distinct words a language, letters of a word, and languages, at
 #: most.
@@ -257,6 +257,7 @@ def learn(rows: DataFrame) -> Languages:
     sample = materialise(kept.select("lang", "text", (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(10)) == 0).alias("test")), "language-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("language")
         seen: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -294,6 +295,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     model = learn(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("language")
         for batch in batches:
             names, p = model.predict([t or "" for t in batch.column("text").to_pylist()])
             yield pa.record_batch([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(p)], names=["doc_id", "lang_pred", "score"])

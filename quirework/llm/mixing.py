@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, fresh, materialise, partitions, ship, small_or_not, texts_of
+from .common import WHITE, fresh, kept, materialise, partitions, ship, small_or_not, texts_of
 
 #: Words of a block, at least; blocks grow so that there are at most MAX_BLOCKS of them.
 BLOCK_WORDS, MAX_BLOCKS = 2048, 1 << 28
@@ -165,6 +165,7 @@ class Plan:
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept("mixing")
     for batch in batches:
         n = [len(x.split()) for x in texts_of(batch.column("text"))]
         yield pa.record_batch([*(batch.column(c) for c in ("uid", "doc_id", "source", "h")), pa.array(n, pa.int64())], names=["uid", "doc_id", "source", "h", "size"])
@@ -172,6 +173,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order with the number of their range, and the words of their source before them in the range."""
+    kept("mixing")
     part, sums = TaskContext.get().partitionId(), {}
     for batch in batches:
         if not batch.num_rows:
@@ -273,6 +275,7 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = docs.withColumn(at, F.monotonically_increasing_id()).join(runs, at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("mixing")
         for batch in batches:
             texts, rows, cut, shards, places = texts_of(batch.column(text_col)), [], [], [], []
             for i, taken in enumerate(batch.column(pieces).to_pylist()):

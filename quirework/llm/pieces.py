@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import kept, ship
 
 SPACE = "▁"
 #: Remembered pieces per worker, and their characters together, at most.
@@ -220,14 +220,13 @@ class Encoder:
         return [self.library.decode(np.frombuffer(x, "<u4").astype(np.int32).tolist()) for x in ids]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a model file; workers are reused, so its cache lives through many tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """The worker's encoder for a model file; workers are reused, so its cache lives through many tasks, until the worker
+    turns to another operator."""
+    encoders = kept("pieces")
+    if path not in encoders:
+        encoders[path] = Encoder(path)
+    return encoders[path]
 
 
 def runs(texts: list[str]) -> Iterator[tuple[int, int]]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bktree import Forest, Union
-from .common import BROADCAST_ROWS, materialise, ship, small_or_not, texts_of, without_rows
+from .common import BROADCAST_ROWS, kept, materialise, ship, small_or_not, texts_of, without_rows
 from .components import components
 
 #: Distinct fingerprints of one tree, at least; a tree of a shard of m has at most max(SHARD, 8 sqrt(m)).
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """uid (place in the scan), doc_id, fp (the fingerprint as a signed long) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("simhash")
         for batch in batches:
             fps = np.array([fingerprint(x, words) for x in texts_of(batch.column("text"))], np.uint64).view(np.int64)
             yield pa.record_batch([batch.column("uid"), batch.column("doc_id"), pa.array(fps)], names=["uid", "doc_id", "fp"])
@@ -102,6 +103,7 @@ def _search(radius: int):
         return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("simhash")
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
             if batch.num_rows:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path, partitions, release, ship, small_or_not, texts_of
+from .common import kept, materialise, new_path, partitions, release, ship, small_or_not, texts_of
 from .wavelet import Shard, build
 
 #: Remembered words per worker (about 200 bytes each), and their bytes together, at most.
@@ -141,13 +141,11 @@ def token_bits(tokenizer: str) -> int:
     return max(1, max(Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()).bit_length())
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    encoders = kept("token_files")
+    if path not in encoders:
+        encoders[path] = WordEncoder(path)
+    return encoders[path]
 
 
 def _encode(tokenizer: str, end: int):

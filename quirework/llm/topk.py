@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship
+from .common import kept, materialise, ship
 
 #: Vectors of a tile, and its bytes as doubles, at most (a tile holds one vector at least).
 TILE, TILE_BYTES = 2048, 1 << 25
@@ -50,6 +50,7 @@ def _pack(scale: float, tile: int):
             yield pa.record_batch([pa.array([dim], pa.int32()), pa.array([len(part)], pa.int32()), pa.array([kind]), pa.array([ids[at : at + len(part)].tobytes()], pa.binary()), pa.array([uids[at : at + len(part)].tobytes()], pa.binary()), pa.array([part.astype(kind).tobytes()], pa.binary())], names=["dim", "n", "kind", "ids", "uids", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("topk")
         held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for batch in batches:
             ok = batch.filter(pc.and_(batch.column("id").is_valid(), batch.column("vector").is_valid()))

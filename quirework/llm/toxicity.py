@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Trees, isotonic
-from .common import materialise, ship, texts_of
+from .common import kept, materialise, ship, texts_of
 
 #: Labelled rows that the classifier is fit on, at most.
 SAMPLE = 20_000
@@ -126,6 +126,7 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = chosen.select("doc_id", F.col("least.text").alias("text"), "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("toxicity")
         for batch in batches:
             marks = [_sketch(_words(t)) for t in texts_of(batch.column("text"))]
             yield pa.record_batch([*batch.columns, pa.array(marks, pa.int64())], names=["doc_id", "text", "toxic", "mark"])
@@ -137,6 +138,7 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with a word, by label, as far as this partition goes."""
+    kept("toxicity")
     with_, without, n = Counter(), Counter(), [0, 0]
     for batch in batches:
         for text, toxic in zip(texts_of(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
@@ -157,6 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     learned = {bytes(r.word): float(r.odds) for r in words.collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("toxicity")
         for batch in batches:
             x = [features(t, learned) for t in texts_of(batch.column("text"))]
             yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
@@ -180,6 +183,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = learn(rows, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("toxicity")
         for batch in batches:
             yield pa.record_batch([batch.column("uid"), batch.column("doc_id"), pa.array(model.scores(texts_of(batch.column("text"))))], names=["uid", "doc_id", "score"])
 
@@ -193,6 +197,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     model = learn(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("toxicity")
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             yield batch.filter(pa.array(model.scores(texts_of(batch.column(at))) < THRESHOLD))

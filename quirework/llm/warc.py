@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialise, new_path, ship, small_or_not
+from .common import BROADCAST_ROWS, kept, materialise, new_path, ship, small_or_not
 
 #: Payload bytes of a row; records with more payload have several rows.
 CHUNK = 1 << 20
@@ -56,6 +56,7 @@ def _payloads(column: pa.Array) -> Iterator[memoryview]:
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept("warc")
     for batch in batches:
         sizes, one, two = [], [], []
         for payload in _payloads(batch.column("html")):

@@ -177,3 +177,12 @@ def test_a_changed_payload_is_found(spark):
     data = press.compress(head + b"abd\r\n\r\n") + press.flush()
     with pytest.raises(ValueError):
         warc.Reader().row(data, True, hashlib.sha1(b"abc").hexdigest())
+
+
+def test_a_worker_keeps_things_of_one_operator():
+    from quirework.llm.common import kept
+
+    first = pieces.encoder(PIECES)
+    assert pieces.encoder(PIECES) is first
+    kept("mixing")["a"] = 1
+    assert kept("mixing") == {"a": 1} and pieces.encoder(PIECES) is not first and kept("mixing") == {}
