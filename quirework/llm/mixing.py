@@ -294,8 +294,8 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             where = mixed.schema.get_field_index(text_col)
             columns = mixed.columns
             columns[where] = pa.array(cut, pa.binary()).cast(mixed.schema.field(where).type)
-            kept = [(c, f) for c, f in zip(columns, mixed.schema, strict=True) if f.name != pieces]
-            yield pa.record_batch([*(c for c, _ in kept), pa.array(shards, pa.int64()), pa.array(places, pa.int64())], names=[*(f.name for _, f in kept), shard_col, place])
+            rest = [(c, f) for c, f in zip(columns, mixed.schema, strict=True) if f.name != pieces]
+            yield pa.record_batch([*(c for c, _ in rest), pa.array(shards, pa.int64()), pa.array(places, pa.int64())], names=[*(f.name for _, f in rest), shard_col, place])
 
     kinds = docs.select("*", F.lit(0).cast("long").alias(at)).schema
     for name in (shard_col, place):
