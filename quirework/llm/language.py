@@ -253,8 +253,8 @@ def learn(rows: DataFrame) -> Languages:
     rate = F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, SAMPLE / counts[k]))])
     # one row of equal id and text, so that a row that stands very often cannot swell the sample
     drawn = own.filter(F.coalesce(_place() < F.try_element_at(rate, F.col("lang")), F.lit(False))).withColumn("h", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    kept = drawn.dropDuplicates(["lang", "doc_id", "h"])
-    sample = materialise(kept.select("lang", "text", (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(10)) == 0).alias("test")), "language-sample")
+    single = drawn.dropDuplicates(["lang", "doc_id", "h"])
+    sample = materialise(single.select("lang", "text", (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(10)) == 0).alias("test")), "language-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("language")
